@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op8_byte_bpe
+from .chat import op3_chat_format
+from .gif import op4_gif_media
 from .token_records import op1_token_records
 
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op3_chat_format": op3_chat_format,
+    "op4_gif_media": op4_gif_media,
+    "op8_byte_bpe": op8_byte_bpe,
 }
 
 ORACLE: dict[str, str] = {}
