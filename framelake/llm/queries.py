@@ -5,12 +5,14 @@ from __future__ import annotations
 from .bpe import op8_byte_bpe
 from .chat import op3_chat_format
 from .gif import op4_gif_media
+from .hyperminhash import op5_minhash_near_dedup
 from .token_records import op1_token_records
 
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op3_chat_format": op3_chat_format,
     "op4_gif_media": op4_gif_media,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
