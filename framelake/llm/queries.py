@@ -6,6 +6,7 @@ from .bpe import op8_byte_bpe
 from .chat import op3_chat_format
 from .gif import op4_gif_media
 from .hyperminhash import op5_minhash_near_dedup
+from .onebit import op10_onebit_search
 from .token_records import op1_token_records
 
 QUERIES = {
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_gif_media": op4_gif_media,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op10_onebit_search": op10_onebit_search,
 }
 
 ORACLE: dict[str, str] = {}
