@@ -34,73 +34,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import chunks, forget, stored, text_of
+from .hashing import BASES, mix, word_hashes
 
 REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 6, 42
 SIGMAS = 5.0
 #: Members of a key compared at a time: those outside the most frequent component, and all.
 BLOCK, PART = 256, 2048
 
-#: Odd multipliers of the two polynomial hashes of a word, and of the words in a shingle.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of ``base`` and of its inverse, modulo 2^64."""
-    have = _POWERS.get(base)
-    if have is None or len(have[0]) < n:
-        n = max(n, 1 << 16)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(n, b, np.uint64)
-            steps[0] = 1
-            both.append(np.cumprod(steps))
-        have = both[0], both[1]
-        if n <= 1 << 21:
-            _POWERS[base] = have
-    return have
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _lower() -> np.ndarray:
-    table = np.arange(256, dtype=np.uint8)
-    table[65:91] += 32
-    return table
-
-
-def _visible() -> np.ndarray:
-    table = np.ones(256, bool)
-    table[9:14] = table[32] = False
-    return table
-
 
 def shingles(texts: list[str], k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``."""
-    lower, visible = _lower(), _visible()
     out = []
     for a, b in chunks(texts, 1 << 20):
         held = [t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
         data = np.frombuffer(b"\n".join([*held, b""]), np.uint8)
         ends = np.cumsum([len(h) + 1 for h in held])
-        seen = visible[data]
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], seen])))  # the last byte isn't visible
-        begin, end = edges[::2], edges[1::2]
-        words = np.zeros(len(begin), np.uint64)
-        values = lower[data].astype(np.uint64) + np.uint64(1)
-        for base in BASES:
-            up, down = _powers(base, len(data) + 1)
-            total = np.concatenate([[np.uint64(0)], np.cumsum(values * up[: len(data)])])
-            words = _mix(words * np.uint64(BASES[1]) + (total[end] - total[begin]) * down[begin])
+        begin, words = word_hashes(data)
         upto = np.searchsorted(begin, ends)
         grams = np.zeros(max(0, len(words) - k + 1), np.uint64)
         for j in range(k):
             grams = grams * np.uint64(BASES[0]) + words[j : j + len(grams)]
-        grams = _mix(grams)
+        grams = mix(grams)
         first = 0
         for last in upto.tolist():
             n = last - first
@@ -115,7 +69,7 @@ def shingles(texts: list[str], k: int) -> list[np.ndarray]:
                 with np.errstate(over="ignore"):
                     for w in words[first:last]:
                         whole = whole * np.uint64(BASES[1]) + w
-                out.append(_mix(np.array([whole], np.uint64)))
+                out.append(mix(np.array([whole], np.uint64)))
             else:
                 out.append(np.zeros(0, np.uint64))
             first = last

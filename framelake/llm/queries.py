@@ -6,6 +6,7 @@ from . import mixing
 from .bpe import op8_byte_bpe
 from .chat import op3_chat_format
 from .gif import op4_gif_media
+from .html import op9_html_extract
 from .hyperminhash import op5_minhash_near_dedup
 from .mixing import op2_mixing
 from .onebit import op10_onebit_search
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_gif_media": op4_gif_media,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_html_extract": op9_html_extract,
     "op10_onebit_search": op10_onebit_search,
 }
 
