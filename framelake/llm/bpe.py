@@ -350,6 +350,16 @@ def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
     return _mapped(docs, ranks, id_col, text_col, fields, _digest)
 
 
+def _tokens(enc: Encoding, text: str, ids: list[int]):
+    return ids, *_digest(enc, text, ids)
+
+
+def tokens(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``round_trip`` with the ids themselves."""
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    return _mapped(docs, ranks, id_col, text_col, fields, _tokens)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
