@@ -126,7 +126,9 @@ class SegmentEncoder:
             parts = _LINES.split(seg)
             body = seg.rstrip(_TAIL)
             if len(parts) > 1:
-                got = self.one(parts[0], space) + b"".join(self.one(p, False) for p in parts[1:])
+                # Before a visible character the last of several newlines is a piece of its own.
+                lines = [q for k, p in enumerate(parts[1:]) for q in ((p[1:], "\n") if k % 2 == 0 else (p,)) if q]
+                got = self.one(parts[0], space) + b"".join(self.one(q, False) for q in lines)
             elif body != seg and body and body[-1].isalpha():
                 got = self.one(body, space) + self.one(seg[len(body) :], False)
             else:
