@@ -2,21 +2,22 @@
 
 A document is the set of its distinct k-word shingles, as 64-bit hashes. Its sketch has ``REGISTERS`` buckets;
 a bucket keeps, of the least hash in it, the count of leading zeros and ``MANTISSA`` bits after the first one,
-in 16 bits. ``BANDS`` runs of ``ROWS`` registers are hashed to band keys. Texts with one and the same set are
+in 16 bits. Empty buckets take another's value. ``BANDS`` runs of ``ROWS`` registers are hashed to band keys. Texts with one and the same set are
 one class, represented by its smallest document id; only representatives go on.
 
-1. In each band key the smallest id is the hub; every other member is paired with it. A pair goes on where the
-   collision-corrected estimate isn't below the threshold by more than ``SIGMAS`` standard errors, and is
-   confirmed on the full sets, computed again from the texts. Confirmed links are joined to components.
-2. Where a band key still holds several components, the members outside its most frequent component are held,
-   in blocks, against all members of other components. What passes is confirmed as above, and the components
-   are joined anew. No other pair that shares a key can change a component, so none is lost.
+1. In each band key the smallest id is the hub; every other member is paired with it, once. A pair goes on
+   where the collision-corrected estimate isn't below the threshold by more than ``SIGMAS`` standard errors,
+   and is judged on the full sets, computed again from the texts. Links are joined to components.
+2. Where the members of a hub are of several components, those outside the most frequent one are held, in
+   blocks, against all members of other components. 1 - J is a metric, so members whose distances to the hub
+   differ by more than a link's distance can't be linked; others whose estimate is high enough are judged on
+   full sets in their block, which returns no more links than it needs to join components. The components are
+   then joined anew. Texts that share a key share its hub, so no link between them is lost.
 
 Work in a group of n near copies thus grows with n and its stragglers, not with n squared, and no group is
 gathered in one task. Links are never collected.
 
-Two sets with similarity J share no band with probability (1 - J^ROWS)^BANDS or less: 2e-9 at 0.85, 3e-6 at
-0.8; sets with few shingles fare better, as a differing shingle spoils one band of many.
+Two sets with similarity J share no band with probability (1 - J^ROWS)^BANDS: 2e-9 at 0.85, 3e-6 at 0.8.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; texts with fewer words than
 k are one shingle; repeated rows are each kept with one result; rows that share an id are one document; a
@@ -39,7 +40,7 @@ from .hashing import BASES, mix, word_hashes
 REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 6, 42
 SIGMAS = 5.0
 #: Members of a key compared at a time: those outside the most frequent component, and all.
-BLOCK, PART = 256, 2048
+BLOCK, PART = 1024, 2048
 
 
 def shingles(texts: list[str], k: int) -> list[np.ndarray]:
@@ -91,18 +92,41 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _donors() -> np.ndarray:
+    """For each bucket, all buckets in an order of its own."""
+    rng = np.random.default_rng(REGISTERS)
+    return np.array([rng.permutation(REGISTERS) for _ in range(REGISTERS)])
+
+
+def densified(registers: np.ndarray) -> np.ndarray:
+    """Rows of registers whose empty buckets take the value of the first filled one in their order.
+
+    Without this, texts with few shingles would share the bands of any common passage: a band with one filled
+    bucket tells little. Filled so, each register of two sets is equal with probability J, as in MinHash.
+    """
+    out, order = registers.copy(), _donors()
+    todo = np.flatnonzero((registers != 0).any(axis=1) & (registers == 0).any(axis=1))
+    for k in range(REGISTERS):
+        if not len(todo):
+            break
+        part = out[todo]
+        taken = registers[todo][:, order[:, k]]
+        out[todo] = part = np.where(part == 0, taken, part)
+        todo = todo[(part == 0).any(axis=1)]
+    return out
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Similarity of paired sketches (rows) less expected chance collisions, and its standard error at 0.85.
 
     A collision of different least hashes has probability 0.17 phi / 2^MANTISSA, phi = 4x/(1+x)^2 with x the
-    ratio of set sizes.
+    ratio of set sizes. The error counts the buckets that sets of that size fill, and a quarter more for the
+    draws that filled the others.
     """
-    used = ((a != 0) | (b != 0)).sum(axis=-1)
-    same = ((a == b) & (a != 0)).sum(axis=-1)
     x = na / np.maximum(nb, 1)
     chance = 0.169919487159739 * 4 * x / (1 + x) ** 2 / (1 << MANTISSA)
-    used = np.maximum(used, 1)
-    return same / used - chance, np.sqrt(0.85 * 0.15 / used)
+    filled = REGISTERS * -np.expm1(-np.maximum(na, nb) / REGISTERS)
+    return (a == b).mean(axis=-1) - chance, 1.25 * np.sqrt(0.85 * 0.15 / filled)
 
 
 SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("registers", T.BinaryType())])
@@ -118,12 +142,13 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 sets = shingles(part["text"].to_pylist(), k)
+                registers = densified(np.array([sketch(s) for s in sets]))
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                        pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                        pa.array([r.tobytes() if len(s) else None for r, s in zip(registers, sets, strict=True)], pa.binary()),
                     ],
                     names=SKETCH.names,
                 )
@@ -132,14 +157,16 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 PAIR = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+ESTIMATED = T.StructType([*PAIR.fields, T.StructField("j", T.DoubleType()), T.StructField("error", T.DoubleType())])
+JUDGED = T.StructType([*PAIR.fields, T.StructField("j", T.DoubleType()), T.StructField("linked", T.BooleanType())])
 
 
 def _table(column, rows: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(rows, REGISTERS)
 
 
-def estimated(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs whose estimate isn't too low."""
+def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs with their estimate and its error."""
     own = reps.select("doc_id", "n", "registers")
     a = own.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra"))
     b = own.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb"))
@@ -150,13 +177,13 @@ def estimated(pairs: DataFrame, reps: DataFrame, similarity: float) -> DataFrame
         for batch in batches:
             if batch.num_rows:
                 j, error = estimate(_table(batch["ra"], batch.num_rows), _table(batch["rb"], batch.num_rows), batch["na"].to_numpy(), batch["nb"].to_numpy())
-                yield batch.select(["a", "b"]).filter(pa.array(j >= similarity - SIGMAS * error))
+                yield pa.RecordBatch.from_arrays([batch["a"], batch["b"], pa.array(j), pa.array(error)], names=ESTIMATED.names)
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "ra", "nb", "rb").mapInArrow(task, PAIR)
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "ra", "nb", "rb").mapInArrow(task, ESTIMATED)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union, on full sets."""
+def judged(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs with their similarity on full sets, and whether 100 * intersection >= percent * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = stored(docs.join(ids, "doc_id", "left_semi"), "candidate-texts")
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
@@ -169,16 +196,19 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keep = []
+                j, linked = [], []
                 for key, ta, own in zip(part["a"].to_pylist(), part["ta"], shingles(part["tb"].to_pylist(), k), strict=True):
                     if last != (key, ta):
                         last, held = (key, ta), shingles([ta.as_py()], k)[0]
                     both = len(np.intersect1d(held, own, assume_unique=True))
-                    keep.append(both > 0 and 100 * both >= percent * (len(held) + len(own) - both))
-                if keep:
-                    yield part.select(["a", "b"]).filter(pa.array(keep))
-
-    out = stored(pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(task, PAIR).distinct(), "links")
+                    union = len(held) + len(own) - both
+                    j.append(both / max(union, 1))
+                    linked.append(both > 0 and 100 * both >= percent * union)
+                if j:
+                    yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array(j), pa.array(linked)], names=JUDGED.names)
+
+    made = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(task, JUDGED)
+    out = stored(made.groupBy("a", "b").agg(F.max("j").alias("j"), F.max("linked").alias("linked")), "judged")
     forget(texts)
     return out
 
@@ -206,40 +236,80 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def band_keys(reps: DataFrame) -> DataFrame:
-    """doc_id and key for each band that has a register in use."""
+    """doc_id and the key of each band."""
     size = 2 * ROWS
-    empty = F.lit(bytes(size))
-    bands = F.array(*[F.when(F.substring("registers", 1 + size * i, size) != empty, F.xxhash64(F.lit(i), F.substring("registers", 1 + size * i, size))) for i in range(BANDS)])
-    return reps.select("doc_id", F.explode(F.array_distinct(bands)).alias("key")).filter("key is not null")
-
-
-def stragglers(keys: DataFrame, labels: DataFrame, reps: DataFrame, similarity: float) -> DataFrame:
-    """Pairs from different components that share a key, by estimate; see step 2 above."""
-    member = keys.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("key", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    parts = member.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1 and n > 2")
-    mixed = mixed.select("key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    held = member.join(mixed, "key").join(reps.select("doc_id", F.col("n").alias("size"), "registers"), "doc_id")
-    dealt = F.xxhash64("doc_id")
-    asked = held.filter(F.col("label") != F.col("top")).select("key", F.pmod(dealt, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "doc_id", "label", "size", "registers", F.lit(True).alias("asks"))
-    offered = held.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(dealt, F.col("parts")).cast("int").alias("part"), "doc_id", "label", "size", "registers", F.lit(False).alias("asks"))
+    bands = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", 1 + size * i, size)) for i in range(BANDS)])
+    return reps.select("doc_id", F.explode(bands).alias("key"))
+
+
+def compare_block(asks: np.ndarray, ids: np.ndarray, label: np.ndarray, low: np.ndarray, high: np.ndarray, registers: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
+    """Links that join components: rows that ask against the others.
+
+    Each pair of different components is estimated and then judged on the full sets, unless links found here
+    have joined them by then; so a block gives fewer links than it has rows.
+    """
+    size = np.array([len(s) for s in sets])
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    rest = np.flatnonzero(~asks)
+    flat = np.concatenate([place[begin[r] : begin[r + 1]] for r in rest])
+    edges = np.concatenate([[0], np.cumsum(size[rest])])
+    _, component = np.unique(label, return_inverse=True)
+    root = np.arange(component.max() + 1)
+    held = np.zeros(place.max() + 1, bool)
+    a, b = [], []
+    for i in np.flatnonzero(asks):
+        other = root[component[rest]] != root[component[i]]
+        near = np.flatnonzero(other & (np.maximum(low[rest] - high[i], low[i] - high[rest]) <= 1 - percent / 100 + 1e-9))
+        j, error = estimate(registers[i], registers[rest[near]], size[i], size[rest[near]])
+        near = near[j >= percent / 100 - SIGMAS * error]
+        if not len(near):
+            continue
+        own = place[begin[i] : begin[i + 1]]
+        held[own] = True
+        if 4 * len(near) > len(rest):
+            both = np.add.reduceat(held[flat], edges[:-1], dtype=np.int64)[near]
+        else:
+            both = np.array([np.count_nonzero(held[flat[edges[k] : edges[k + 1]]]) for k in near])
+        held[own] = False
+        union = size[i] + size[rest[near]] - both
+        for k in near[(both > 0) & (100 * both >= percent * union)]:
+            mine, its = root[component[i]], root[component[rest[k]]]
+            if mine != its:
+                root[root == its] = mine
+                a.append(int(min(ids[i], ids[rest[k]])))
+                b.append(int(max(ids[i], ids[rest[k]])))
+    return a, b
+
+
+def stragglers(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members (hub, doc_id, low, high) of a hub that lie in different components; see step 2."""
+    member = members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    parts = member.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("hub").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1 and n > 2")
+    mixed = mixed.select("hub", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    asking = stored(member.join(mixed, "hub"), "members")
+    own = docs.join(asking.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    held = stored(asking.join(reps.select("doc_id", "registers"), "doc_id").join(own, "doc_id"), "member-texts")
+    dealt, row = F.xxhash64("doc_id"), ("doc_id", "label", "low", "high", "registers", "text")
+    asked = held.filter(F.col("label") != F.col("top")).select("hub", F.pmod(dealt, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *row, F.lit(True).alias("asks"))
+    offered = held.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(dealt, F.col("parts")).cast("int").alias("part"), *row, F.lit(False).alias("asks"))
 
     def compare(table):
         import pyarrow as pa
 
         asks = table["asks"].to_numpy()
-        ids, label, size = (table[c].to_numpy() for c in ("doc_id", "label", "size"))
+        if not asks.any() or asks.all():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        ids, label, low, high = (table[c].to_numpy() for c in ("doc_id", "label", "low", "high"))
         registers = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(len(ids), REGISTERS)
-        rest = np.flatnonzero(~asks)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in np.flatnonzero(asks):
-            j, error = estimate(registers[i], registers[rest], size[i], size[rest])
-            to = ids[rest[(label[rest] != label[i]) & (j >= similarity - SIGMAS * error)]]
-            found.append((np.minimum(to, ids[i]), np.maximum(to, ids[i])))
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-        return pa.table({"a": a, "b": b})
+        a, b = compare_block(asks, ids, label, low, high, registers, shingles(table["text"].to_pylist(), k), percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return asked.unionByName(offered).groupBy("key", "block", "part").applyInArrow(compare, PAIR).distinct()
+    both = asked.unionByName(offered).repartition("hub", "block", "part")
+    found = stored(both.groupBy("hub", "block", "part").applyInArrow(compare, PAIR), "straggler-links")
+    forget(asking, held)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,18 +322,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     reps = stored(own.groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "registers")).alias("r")).select("set_key", "r.*"), "representatives")
     keys = band_keys(reps)
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(keys.join(hubs.select("key", "a"), "key").select("key", "doc_id", "a"), "shared-keys")
-    pairs = shared.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    likely = stored(estimated(pairs, reps, similarity), "likely")
-    links = confirmed(likely, docs, k, percent)
-    forget(likely)
+    star = stored(keys.join(hubs.select("key", "a"), "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "star")
+    guessed = stored(estimated(star, reps), "estimates")
+    forget(star)
+    known = judged(guessed.filter(F.col("j") >= similarity - SIGMAS * F.col("error")).select("a", "b"), docs, k, percent)
+    links = known.filter("linked").select("a", "b")
     labels = components(links)
-    rest = stored(stragglers(shared.select("key", "doc_id"), labels, reps, similarity), "stragglers")
-    if rest.limit(1).count():
-        more = confirmed(rest, docs, k, percent)
+    exact = known.select("a", "b", F.col("j").alias("exact"))
+    low = F.coalesce(1 - F.col("exact"), 1 - F.col("j") - SIGMAS * F.col("error"))
+    high = F.coalesce(1 - F.col("exact"), 1 - F.col("j") + SIGMAS * F.col("error"))
+    members = guessed.join(exact, ["a", "b"], "left").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), low.alias("low"), high.alias("high"))
+    own_hubs = guessed.select(F.col("a").alias("hub"), F.col("a").alias("doc_id"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high")).distinct()
+    more = stragglers(members.unionByName(own_hubs), labels, reps, docs, k, percent)
+    if more.limit(1).count():
         labels = components(links.unionByName(more))
-        forget(more)
-    forget(rest, links, shared)
+    forget(more, known, guessed)
     classes = reps.select("set_key", F.col("doc_id").alias("rep")).join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
     out = every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(classes, "set_key", "left")
     component = F.coalesce("component", "doc_id")
