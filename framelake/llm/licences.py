@@ -199,27 +199,33 @@ def scan(docs: DataFrame, model: Model | None = None, similarity: float = SIMILA
     similarity to the family's nearest template, confirmed, and the paragraph's text."""
     model = model or train()
     vocabulary, n = listed(model.vocabulary), len(model.classes)
+
+    def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+        """Add a column that is computed once a row: filters and later columns aren't merged with a generator."""
+        return df.select("*", F.explode(F.array(value)).alias(name))
+
     lines = docs.select(F.col(id_col), F.posexplode(F.split(text_of(text_col), "\n")).alias("paragraph", "text"))
-    lines = lines.withColumn("words", F.split(F.lower("text"), "[^a-z0-9]+"))
+    lines = once(lines, F.split(F.lower("text"), "[^a-z0-9]+"), "words")
     if prune:
         lines = lines.filter(F.arrays_overlap("words", listed(model.anchors)))
-    words = F.filter("words", lambda w: w != "")
-    lines = lines.withColumn("words", words)
-    pairs = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.element_at("words", i), F.element_at("words", i + 1)))).otherwise(F.array().cast("array<string>"))
-    lines = lines.withColumn("pairs", F.array_distinct(pairs))
-    lines = lines.withColumn("hits", F.array_intersect(F.concat("words", "pairs"), vocabulary))
+    lines = once(lines, F.filter("words", lambda w: w != ""), "own").filter("size(own) > 0")
+    pairs = F.zip_with(F.slice("own", 1, F.size("own") - 1), F.slice("own", 2, F.size("own")), lambda a, b: F.concat_ws(" ", a, b))
+    lines = once(lines, F.array_distinct(pairs), "pairs")
+    # Of the n-grams that the model knows, the weights; a text of any length has no more than the vocabulary.
     table = F.from_json(F.lit(json.dumps([[float(v) for v in r] for r in model.weights])), "array<array<double>>")
     bias = F.from_json(F.lit(json.dumps([float(v) for v in model.bias])), "array<double>")
-    z = F.aggregate("hits", bias, lambda acc, g: F.zip_with(acc, F.element_at(table, F.array_position(vocabulary, g).cast("int")), lambda a, b: a + b))
-    lines = lines.withColumn("z", z).withColumn("top", F.array_max("z"))
-    e = F.transform("z", lambda v: F.exp((v - F.col("top")) / model.temperature))
-    lines = lines.withColumn("chance", 1 / F.aggregate(e, F.lit(0.0), lambda a, v: a + v)).withColumn("class", F.array_position("z", F.col("top")).cast("int"))
-    found = lines.filter((F.col("class") < n) & (F.col("chance") >= model.bar)).withColumn("family", F.element_at(listed(model.classes), F.col("class")))
+    hits = F.array_intersect(vocabulary, F.concat("own", "pairs"))
+    z = F.aggregate(hits, bias, lambda acc, g: F.zip_with(acc, F.element_at(table, F.array_position(vocabulary, g).cast("int")), lambda a, b: a + b))
+    lines = once(lines, z, "z")
+    lines = once(lines, F.array_max("z"), "top")
+    total = F.aggregate("z", F.lit(0.0), lambda a, v: a + F.exp((v - F.col("top")) / model.temperature))
+    lines = once(lines, F.struct((1 / total).alias("chance"), F.array_position("z", F.col("top")).cast("int").alias("class")), "p")
+    found = lines.filter((F.col("p.class") < n) & (F.col("p.chance") >= model.bar)).withColumn("family", F.element_at(listed(model.classes), F.col("p.class")))
     # Templates: a few for each family, as arrays of their pairs.
     held = F.create_map(*[x for f, ts in TEMPLATES.items() for x in (F.lit(f), F.from_json(F.lit(json.dumps([[g for g in grams_of(words_of(t)) if " " in g] for t in ts])), "array<array<string>>"))])
     agreed = F.transform(F.element_at(held, F.col("family")), lambda t: F.size(F.array_intersect("pairs", t)) / F.greatest(F.lit(1), F.least(F.size(t), F.size("pairs"))))
-    found = found.withColumn("similarity", F.round(F.array_max(agreed), 6))
-    return found.select(F.col(id_col), "paragraph", "family", F.round("chance", 6).alias("probability"), "similarity", (F.col("similarity") >= similarity).alias("confirmed"), "text")
+    found = once(found, F.round(F.array_max(agreed), 6), "similarity")
+    return found.select(F.col(id_col), "paragraph", "family", F.round("p.chance", 6).alias("probability"), "similarity", (F.col("similarity") >= similarity).alias("confirmed"), "text")
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
