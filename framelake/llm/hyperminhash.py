@@ -41,6 +41,8 @@ REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 6, 42
 SIGMAS = 5.0
 #: Members of a key compared at a time: those outside the most frequent component, and all.
 BLOCK, PART = 1024, 2048
+#: Ids that are broadcast to fetch their texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def shingles(texts: list[str], k: int) -> list[np.ndarray]:
@@ -182,10 +184,16 @@ def estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "ra", "nb", "rb").mapInArrow(task, ESTIMATED)
 
 
-def judged(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def fetched(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of ``ids`` (doc_id), in one pass over the documents; few ids are broadcast, so that the other
+    texts aren't shuffled."""
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return stored(docs.join(ids, "doc_id", "left_semi"), "candidate-texts")
+
+
+def judged(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs with their similarity on full sets, and whether 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(docs.join(ids, "doc_id", "left_semi"), "candidate-texts")
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
 
@@ -208,9 +216,7 @@ def judged(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
                     yield pa.RecordBatch.from_arrays([part["a"], part["b"], pa.array(j), pa.array(linked)], names=JUDGED.names)
 
     made = pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(task, JUDGED)
-    out = stored(made.groupBy("a", "b").agg(F.max("j").alias("j"), F.max("linked").alias("linked")), "judged")
-    forget(texts)
-    return out
+    return stored(made.groupBy("a", "b").agg(F.max("j").alias("j"), F.max("linked").alias("linked")), "judged")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -282,15 +288,14 @@ def compare_block(asks: np.ndarray, ids: np.ndarray, label: np.ndarray, low: np.
     return a, b
 
 
-def stragglers(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def stragglers(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links between members (hub, doc_id, low, high) of a hub that lie in different components; see step 2."""
     member = members.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     parts = member.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("hub").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1 and n > 2")
     mixed = mixed.select("hub", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    asking = stored(member.join(mixed, "hub"), "members")
-    own = docs.join(asking.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    held = stored(asking.join(reps.select("doc_id", "registers"), "doc_id").join(own, "doc_id"), "member-texts")
+    own = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
+    held = stored(member.join(mixed, "hub").join(reps.select("doc_id", "registers"), "doc_id").join(own, "doc_id"), "member-texts")
     dealt, row = F.xxhash64("doc_id"), ("doc_id", "label", "low", "high", "registers", "text")
     asked = held.filter(F.col("label") != F.col("top")).select("hub", F.pmod(dealt, F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *row, F.lit(True).alias("asks"))
     offered = held.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(dealt, F.col("parts")).cast("int").alias("part"), *row, F.lit(False).alias("asks"))
@@ -308,7 +313,7 @@ def stragglers(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: Dat
 
     both = asked.unionByName(offered).repartition("hub", "block", "part")
     found = stored(both.groupBy("hub", "block", "part").applyInArrow(compare, PAIR), "straggler-links")
-    forget(asking, held)
+    forget(held)
     return found
 
 
@@ -324,8 +329,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     hubs = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     star = stored(keys.join(hubs.select("key", "a"), "key").filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "star")
     guessed = stored(estimated(star, reps), "estimates")
+    ids = stored(star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "candidates")
+    texts = fetched(docs, ids)
     forget(star)
-    known = judged(guessed.filter(F.col("j") >= similarity - SIGMAS * F.col("error")).select("a", "b"), docs, k, percent)
+    known = judged(guessed.filter(F.col("j") >= similarity - SIGMAS * F.col("error")).select("a", "b"), texts, k, percent)
     links = known.filter("linked").select("a", "b")
     labels = components(links)
     exact = known.select("a", "b", F.col("j").alias("exact"))
@@ -333,10 +340,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     high = F.coalesce(1 - F.col("exact"), 1 - F.col("j") + SIGMAS * F.col("error"))
     members = guessed.join(exact, ["a", "b"], "left").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), low.alias("low"), high.alias("high"))
     own_hubs = guessed.select(F.col("a").alias("hub"), F.col("a").alias("doc_id"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high")).distinct()
-    more = stragglers(members.unionByName(own_hubs), labels, reps, docs, k, percent)
+    more = stragglers(members.unionByName(own_hubs), labels, reps, texts, k, percent)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
-    forget(more, known, guessed)
+    forget(more, known, guessed, texts, ids)
     classes = reps.select("set_key", F.col("doc_id").alias("rep")).join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
     out = every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(classes, "set_key", "left")
     component = F.coalesce("component", "doc_id")
