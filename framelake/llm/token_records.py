@@ -86,6 +86,16 @@ _LINES = re.compile(r"(?<=\S)(\n+)(?=\S)")
 _TAIL = ".,!?;:"
 
 
+class _Spaced(dict):
+    """Ids by segment; what is absent is encoded on the way."""
+
+    def __init__(self, owner: SegmentEncoder):
+        self.owner = owner
+
+    def __missing__(self, seg: str) -> bytes:
+        return self.owner.miss(seg, True)
+
+
 class SegmentEncoder:
     """Encodes whole texts with the tokenizers library, each distinct segment once.
 
@@ -101,7 +111,7 @@ class SegmentEncoder:
         self.tok.encode_special_tokens = True
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.size = size
-        self.spaced: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = _Spaced(self)
         self.bare: dict[str, bytes] = {}
         self.old: tuple[dict, dict] = ({}, {})
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -135,7 +145,7 @@ class SegmentEncoder:
                 got = self.library(" " + seg if space else seg)
         if len(now) >= self.size:
             self.old = (self.spaced, self.bare)
-            self.spaced, self.bare = {}, {}
+            self.spaced, self.bare = _Spaced(self), {}
             now = self.spaced if space else self.bare
         now[seg] = got
         return got
@@ -149,12 +159,8 @@ class SegmentEncoder:
             return b""
         if _SPACED.search(text) or text[0] == " ":
             return b"".join(self.one(s[1:], True) if s[0] == " " else self.one(s, False) for s in _CUT.split(text))
-        segs = text.split(" ")
-        got = [None, *map(self.spaced.get, segs[1:])] if len(segs) > 1 else [None]
-        got[0] = self.one(segs[0], False)
-        if None in got:
-            got = [self.one(segs[i], True) if x is None else x for i, x in enumerate(got)]
-        return b"".join(got)
+        first, *segs = text.split(" ")
+        return b"".join([self.one(first, False), *map(self.spaced.__getitem__, segs)])
 
 
 _ENCODERS: dict[str, SegmentEncoder] = {}
