@@ -6,11 +6,11 @@ the unit vector with its own code. A query q and a centred vector o have
 
     <q, o> ~ |o| <q', x> / <o', x>
 
-with x the code as +-1/sqrt(D). <q', x> comes from packed bits: the query's coordinates are quantised to
-``QUERY_BITS`` levels, whose bit planes meet the code in and-and-count operations. The estimate is unbiased
-over rotations; its error is below ``BOUND`` * |q'| |o| sqrt((1 - s^2) / s^2 / (D - 1)), s = <o', x>, but for
-a small, fixed share of cases. Vectors whose upper bound reaches the k-th largest lower bound are reranked with
-their original coordinates in double precision; the others cannot be among the k, or only by such a case.
+with x the code as +-1/sqrt(D). <q', x> comes from the packed bits, by tables of the query for each byte of a
+code. The estimate is unbiased over rotations; its error is below ``BOUND`` * |q'| |o| sqrt((1 - s^2) / s^2 / (D - 1)), s = <o', x>, but for
+a small, fixed share of cases. The vectors with the largest estimates are scored in double precision with their
+original coordinates; so is every vector whose upper bound reaches the k-th of those scores. The others cannot
+be among the k, or only by such a case.
 
 Every row is coded. Queries and candidates meet in blocks of fixed size, so a task holds one block of each;
 each block gives k rows a query. Nothing is gathered on the driver but the mean of the vectors.
@@ -31,10 +31,11 @@ from pyspark.sql import Window as W
 
 from .common import stored
 
-BOUND = 3.5
-QUERY_BITS = 6
+BOUND = 1.9
 #: Queries and candidates in a block.
 QUERIES, CANDIDATES = 4096, 8192
+#: Queries held against a block at a time; times k, the vectors scored first.
+TOGETHER, FIRST = 64, 8
 SEED = 7
 
 CODES = T.StructType(
@@ -63,26 +64,16 @@ def encode_vectors(x: np.ndarray, mean: np.ndarray, turn: np.ndarray) -> tuple[n
 
 
 def code_products(q: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """<q, x> of turned queries and codes x = +-1/sqrt(D), from bit planes of the quantised queries."""
+    """<q, x> of turned queries and packed codes x = +-1/sqrt(D): a query has a table for each byte of a code,
+    of what the 256 patterns of eight signs add up to."""
     dim = q.shape[1]
-    low = q.min(axis=1, keepdims=True)
-    step = np.maximum((q.max(axis=1, keepdims=True) - low) / ((1 << QUERY_BITS) - 1), 1e-30)
-    levels = np.rint((q - low) / step).astype(np.int64)
-    words = -(-codes.shape[1] // 8) * 8
-
-    def as_words(b: np.ndarray) -> np.ndarray:
-        return np.pad(b, ((0, 0), (0, words - b.shape[1]))).view(np.uint64)
-
-    x = as_words(codes)
-    total = np.zeros((len(q), len(codes)), np.int32)
-    for j in range(QUERY_BITS):
-        plane = as_words(np.packbits((levels >> j) & 1, axis=1).astype(np.uint8))
-        for w in range(plane.shape[1]):
-            total += np.bitwise_count(plane[:, w, None] & x[None, :, w]).astype(np.int32) << j
-    ones = np.bitwise_count(x).sum(axis=1).astype(np.float64)
-    summed = low * ones + step * total  # sum of the query's coordinates where the code has a one
-    whole = low[:, 0] * dim + step[:, 0] * levels.sum(axis=1)
-    return (2 * summed - whole[:, None]) / np.sqrt(dim)
+    signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
+    padded = np.zeros((len(q), 8 * codes.shape[1]), np.float32)
+    padded[:, :dim] = q / np.sqrt(dim)
+    total = np.zeros((len(q), len(codes)), np.float32)
+    for k in range(codes.shape[1]):
+        total += (padded[:, 8 * k : 8 * k + 8] @ signs.T)[:, codes[:, k]]
+    return total
 
 
 def nearest_in_block(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, vec_ids: np.ndarray, codes: np.ndarray, length: np.ndarray, own: np.ndarray, mean: np.ndarray, turn: np.ndarray, k: int):
@@ -92,24 +83,35 @@ def nearest_in_block(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
     base, size = queries @ mean, np.linalg.norm(queries, axis=1)
     s = np.clip(own, 1e-9, 1)
     spread = length * np.sqrt(np.maximum(1 - s * s, 0) / (s * s) / max(dim - 1, 1))
-    # The quantised query is off by at most half a step a coordinate.
-    step = (turned.max(axis=1) - turned.min(axis=1)) / ((1 << QUERY_BITS) - 1)
+    rest, first = min(k, len(vec_ids)), min(FIRST * k, len(vec_ids))
+    scale, spread = (length / s).astype(np.float32), (BOUND * spread).astype(np.float32)
+    base, size = base.astype(np.float32), size.astype(np.float32)
     out = []
-    for at in range(0, len(queries), 256):
-        some = slice(at, at + 256)
-        middle = code_products(turned[some], codes) * (length / s) + base[some, None]
-        error = BOUND * size[some, None] * spread + step[some, None] * np.sqrt(dim) / 2 * (length / s)
-        same = ids[some, None] == vec_ids[None, :]
-        low = np.where(same, -np.inf, middle - error)
-        high = np.where(same, -np.inf, middle + error)
-        rest = min(k, low.shape[1])
-        least = np.partition(low, low.shape[1] - rest, axis=1)[:, low.shape[1] - rest]
-        q, row = np.nonzero((high >= least[:, None]) & ~same)
+    for at in range(0, len(queries), TOGETHER):
+        some = slice(at, at + TOGETHER)
+        middle = code_products(turned[some], codes)
+        middle *= scale
+        middle += base[some, None]
+        middle[ids[some, None] == vec_ids[None, :]] = -np.inf
+        # The best by estimate, scored exactly, give a bar, the k-th of their scores; all whose upper bound
+        # reaches it are scored.
+        best = np.argpartition(middle, middle.shape[1] - first, axis=1)[:, middle.shape[1] - first :]
+        bar = np.einsum("ij,ikj->ik", queries[some], vectors[best])
+        bar = np.where(np.isfinite(np.take_along_axis(middle, best, 1)), bar, -np.inf)
+        bar = np.partition(bar, first - rest, axis=1)[:, first - rest]
+        middle += size[some, None] * spread
+        reach = middle >= np.maximum(bar - 1e-4, -1e30).astype(np.float32)[:, None]
+        pairs = []
+        for i, wanted in enumerate(reach):
+            row = np.flatnonzero(wanted)
+            # A product of the chosen rows at once; those that reach the bar are summed one by one, so that
+            # equal vectors have equal scores.
+            pairs.append(row[vectors[row] @ queries[at + i] >= bar[i] - 1e-9])
+        q, row = np.repeat(np.arange(len(pairs)), [len(p) for p in pairs]), np.concatenate(pairs)
         score = np.einsum("ij,ij->i", queries[at + q], vectors[row])
         order = np.lexsort((vec_ids[row], -score, q))
         q, row, score = q[order], row[order], score[order]
-        begin = np.searchsorted(q, q)
-        keep = np.arange(len(q)) - begin < k
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
         out.append((at + q[keep], row[keep], score[keep]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 

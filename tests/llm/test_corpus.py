@@ -318,7 +318,7 @@ def test_code_products_are_close():
     q, x = rng.normal(size=(5, 70)), rng.normal(size=(9, 70))
     signs = np.where(x > 0, 1, -1) / np.sqrt(70)
     got = onebit.code_products(q, np.packbits(x > 0, axis=1))
-    assert np.abs(got - q @ signs.T).max() < 0.5
+    assert np.abs(got - q @ signs.T).max() < 1e-5
 
 
 def test_pipeline(spark, tmp_path):
