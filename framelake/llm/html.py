@@ -29,13 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import stored, text_of
 from .hashing import word_hashes
 
 #: Pages of a group; words that a repeated run has at least; words that suffixes are sorted by.
 PAGES, RUN, DEPTH = 128, 6, 16
 #: A run is boilerplate on so many distinct pages of a group, and this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.2
+#: Hosts of several groups that are broadcast; more are joined by a shuffle.
+BROADCAST_HOSTS = 50_000
 
 # Names in HTML.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "noembed", "noframes", "xmp"}
@@ -218,6 +220,18 @@ def covered(words: np.ndarray, pages: np.ndarray, least: int, run: int = RUN) ->
     return np.cumsum(edges)[:n] > 0
 
 
+def whole_runs(flags: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Covered words of a block, without the ends of runs that mostly lie in a block next to it."""
+    if flags.all() or not flags.any():
+        return flags
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+    out = flags.copy()
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if b - a < run:
+            out[a:b] = False
+    return out
+
+
 def extract_group(ids: list, htmls: list[str]) -> list[tuple[str, int, int]]:
     """Text, blocks and words removed as boilerplate for each page of a group of one host's pages."""
     every = [blocks(h) for h in htmls]
@@ -241,7 +255,7 @@ def extract_group(ids: list, htmls: list[str]) -> list[tuple[str, int, int]]:
         marked = any(b.article for b in every[i])
         kept, removed = [], 0
         for b in every[i]:
-            flags = gone[first[k] : first[k + 1]]
+            flags = whole_runs(gone[first[k] : first[k + 1]])
             k += 1
             if marked:
                 if b.article:
@@ -267,8 +281,12 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks and n_boilerplate (words removed) for every row."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_of("html").alias("html"), host_of(F.col("url")).alias("host"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PAGES).cast("int").alias("parts"))
-    dealt = rows.join(sizes, "host").withColumn("part", F.pmod(F.xxhash64("page_id"), F.col("parts")).cast("int"))
+    sizes = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PAGES).cast("int").alias("parts")).filter("parts > 1")
+    sizes = stored(sizes, "hosts")
+    if sizes.count() <= BROADCAST_HOSTS:
+        sizes = F.broadcast(sizes)
+    part = F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = rows.join(sizes, "host", "left").withColumn("part", F.coalesce(part, F.lit(0)))
 
     def task(table):
         import pyarrow as pa
@@ -277,7 +295,8 @@ def extract(pages: DataFrame) -> DataFrame:
         made = extract_group(ids, table["html"].to_pylist())
         return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array([t for t, _, _ in made], pa.string()), "n_chars": pa.array([len(t) for t, _, _ in made], pa.int64()), "n_blocks": pa.array([b for _, b, _ in made], pa.int64()), "n_boilerplate": pa.array([r for _, _, r in made], pa.int64())})
 
-    return dealt.select("host", "part", "page_id", "url", "html").groupBy("host", "part").applyInArrow(task, TEXT)
+    # Dealt by both, as a join by host alone would leave a host's pages in one task.
+    return dealt.select("host", "part", "page_id", "url", "html").repartition("host", "part").groupBy("host", "part").applyInArrow(task, TEXT)
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
