@@ -7,9 +7,9 @@ an ``article`` or ``main`` element are marked as the article.
 Pages of a host are dealt to groups of about ``PAGES``. A group's pages are concatenated as one stream of word
 ranks, with a separator of its own after each page. Prefix doubling sorts all suffixes by their first
 ``DEPTH`` words; neighbours with ``RUN`` or more common words form classes; a class met on enough distinct
-pages covers its words. Covered runs are boilerplate. Where a page marks no article, they are removed from its
-blocks and the unique runs are kept. What a page marks as its article is kept whole: copies of an article, or
-a passage many articles share, are no boilerplate.
+pages covers its words. Covered runs are boilerplate, in an article and outside it; unique runs are kept. An
+article of which ``COPY_SHARE`` is covered, or a page without one that is covered throughout, is a copy: it is
+kept, without the runs that stand on more than twice as many pages as its own words do.
 
 Each host's pages are split by a hash of the id, so a host with a third of all pages is many groups.
 
@@ -36,6 +36,8 @@ from .hashing import word_hashes
 PAGES, RUN, DEPTH = 128, 6, 16
 #: A run is boilerplate on so many distinct pages of a group, and this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.2
+#: Share of an article's words in repeated runs from which it is a copy.
+COPY_SHARE = 0.8
 #: Hosts of several groups that are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 50_000
 
@@ -193,14 +195,14 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def covered(words: np.ndarray, pages: np.ndarray, least: int, run: int = RUN) -> np.ndarray:
-    """Flags of the words in runs of ``run`` or more that stand on ``least`` or more distinct pages.
+def run_counts(words: np.ndarray, pages: np.ndarray, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """The class of the suffix at each word, by its first ``run`` words, and the distinct pages of each class.
 
     ``words`` are hashes and ``pages`` the ascending page number of each; pages are separated.
     """
     n = len(words)
     if not n:
-        return np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     breaks = np.flatnonzero(np.diff(pages)) + 1
     _, ranks = np.unique(words, return_inverse=True)
     top = int(ranks.max()) + 1
@@ -214,10 +216,36 @@ def covered(words: np.ndarray, pages: np.ndarray, least: int, run: int = RUN) ->
     real = place >= 0
     group, place = group[real], place[real]
     each = np.unique(group * (int(pages[-1]) + 1) + pages[place]) // (int(pages[-1]) + 1)
-    often = np.bincount(each, minlength=int(group.max()) + 1) >= least
-    begin = place[often[group]]
-    edges = np.bincount(begin, minlength=n + run + 1) - np.bincount(begin + run, minlength=n + run + 1)
-    return np.cumsum(edges)[:n] > 0
+    classes = np.zeros(n, np.int64)
+    classes[place] = group
+    return classes, np.bincount(each, minlength=int(group.max()) + 1)
+
+
+def spread(counts: np.ndarray, run: int = RUN) -> np.ndarray:
+    """For each word the most pages of a run that holds it, from those of the run that begins at each word."""
+    out = counts.copy()
+    for k in range(1, min(run, len(counts))):
+        np.maximum(out[k:], counts[:-k], out=out[k:])
+    return out
+
+
+def covered(words: np.ndarray, pages: np.ndarray, least: int, run: int = RUN) -> np.ndarray:
+    """Flags of the words in runs of ``run`` or more that stand on ``least`` or more distinct pages."""
+    classes, counts = run_counts(words, pages, run)
+    return spread(counts[classes], run) >= least
+
+
+def boilerplate(counts: np.ndarray, article: np.ndarray, least: int) -> np.ndarray:
+    """Flags of a page's words in repeated runs, from ``counts`` of pages and whether each word is in its article.
+
+    An article that repeats as a whole (of a page that marks none, all of it) is a copy. From it go only runs
+    on more than twice as many pages as its own words.
+    """
+    flags = counts >= least
+    own, share = (article, COPY_SHARE) if article.any() else (np.ones(len(counts), bool), 1.0)
+    if flags[own].any() and flags[own].mean() >= share:
+        flags[own] = counts[own] > 2 * np.median(counts[own & flags])
+    return flags
 
 
 def whole_runs(flags: np.ndarray, run: int = RUN) -> np.ndarray:
@@ -241,26 +269,27 @@ def extract_group(ids: list, htmls: list[str]) -> list[tuple[str, int, int]]:
     for i in by_page:
         lines += [b.text for b in every[i]]
         owner += [numbers[ids[i]]] * len(every[i])
-    gone = np.zeros(0, bool)
+    pages_of = np.zeros(0, np.int64)
     counts = np.zeros(len(lines), np.int64)
     if lines:
         data = [x.encode("utf-8", "surrogatepass") for x in lines]
         begin, words = word_hashes(np.frombuffer(b"\n".join([*data, b""]), np.uint8))
         counts = np.diff(np.searchsorted(begin, np.cumsum([0, *(len(d) + 1 for d in data)])))
-        gone = covered(words, np.repeat(np.array(owner), counts), max(LEAST_PAGES, int(np.ceil(LEAST_SHARE * len(numbers)))))
+        classes, met = run_counts(words, np.repeat(np.array(owner), counts))
+        pages_of = spread(met[classes])
+    least = max(LEAST_PAGES, int(np.ceil(LEAST_SHARE * len(numbers))))
     first = np.concatenate([[0], np.cumsum(counts)])
     out: list = [None] * len(ids)
     k = 0
     for i in by_page:
-        marked = any(b.article for b in every[i])
+        own = range(k, k + len(every[i]))
+        k += len(every[i])
+        article = np.repeat(np.array([b.article for b in every[i]], bool), counts[own.start : own.stop])
+        gone = boilerplate(pages_of[first[own.start] : first[own.stop]], article, least)
         kept, removed = [], 0
-        for b in every[i]:
-            flags = whole_runs(gone[first[k] : first[k + 1]])
-            k += 1
-            if marked:
-                if b.article:
-                    kept.append(b.text)
-            elif not flags.any():
+        for j, b in zip(own, every[i], strict=True):
+            flags = whole_runs(gone[first[j] - first[own.start] : first[j + 1] - first[own.start]])
+            if not flags.any():
                 kept.append(b.text)
             else:
                 removed += int(flags.sum())

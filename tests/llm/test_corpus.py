@@ -253,6 +253,18 @@ def test_repeated_runs_go_where_no_article_is_marked():
     assert {t for t, _, _ in html.extract_group([*range(6)], [same] * 6)} == {"one and the same words of an article on all pages"}
 
 
+def test_repeated_runs_go_from_articles():
+    def page(k):
+        return f"<p>A line of page {k} outside it</p><article><p>own words {k} of page {k * 7} alone {k * 3} and {k * 5} so on</p><p class='x'>Subscribe now to read all our news every day</p></article>"
+
+    got = html.extract_group([*range(6)], [page(k) for k in range(6)])
+    assert got == [(f"A line of page {k} outside it\nown words {k} of page {k * 7} alone {k * 3} and {k * 5} so on", 2, 9) for k in range(6)]
+    # copies of an article stay, without what stands on many more pages
+    copy = "<article><p>the very same article of twenty words that is met on three pages of this host and on no other one</p><p class='x'>Subscribe now to read all our news every day</p></article>"
+    got = html.extract_group([*range(12)], [copy] * 3 + [page(k) for k in range(9)])
+    assert [t for t, _, _ in got[:3]] == ["the very same article of twenty words that is met on three pages of this host and on no other one"] * 3
+
+
 def test_covered_equals_brute_force():
     rng = np.random.default_rng(3)
     for _ in range(20):
