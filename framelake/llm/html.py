@@ -4,14 +4,16 @@ A page is read as a stream of tags and text into blocks. Elements that by name,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments are left out; blocks in
 an ``article`` or ``main`` element are marked as the article.
 
-Pages of a host are dealt to groups of about ``PAGES``. A group's pages are concatenated as one stream of word
-ranks, with a separator of its own after each page. Prefix doubling sorts all suffixes by their first
-``DEPTH`` words; neighbours with ``RUN`` or more common words form classes; a class met on enough distinct
-pages covers its words. Covered runs are boilerplate, in an article and outside it; unique runs are kept. An
+Pages are read in groups of ``PAGES`` as they lie. A group's pages are concatenated as one stream of ranks of
+words (salted by host), with a separator of its own after each page. Prefix doubling sorts all suffixes by their
+first ``DEPTH`` words; neighbours with ``RUN`` or more common words form classes, each with its distinct pages.
+Classes of all groups are added up by the key of host and run, so evidence is that of the whole host: a run on
+``LEAST_PAGES`` distinct pages is boilerplate, in an article and outside it; unique runs are kept. An
 article of which ``COPY_SHARE`` is covered, or a page without one that is covered throughout, is a copy: it is
 kept, without the runs that stand on more than twice as many pages as its own words do.
 
-Each host's pages are split by a hash of the id, so a host with a third of all pages is many groups.
+Keys are dealt to buckets by hash, so neither a host with a third of all pages nor a run on all of them is one
+task. A host of fewer than ``LEAST_PAGES`` pages has no evidence, and its pages keep all blocks.
 
 Defined cases: null html is empty, with the empty text; a null url or one without a host is the host ''; rows
 that repeat a page count as one page for repetition, and are each kept; unclosed elements end with their
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,17 +32,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_of
-from .hashing import word_hashes
+from .common import forget, partitions, stored, text_of
+from .hashing import BASES, mix, word_hashes
 
 #: Pages of a group; words that a repeated run has at least; words that suffixes are sorted by.
 PAGES, RUN, DEPTH = 128, 6, 16
-#: A run is boilerplate on so many distinct pages of a group, and this share of them.
-LEAST_PAGES, LEAST_SHARE = 3, 0.2
+#: A run is boilerplate on so many distinct pages of a host.
+LEAST_PAGES = 3
 #: Share of an article's words in repeated runs from which it is a copy.
 COPY_SHARE = 0.8
-#: Hosts of several groups that are broadcast; more are joined by a shuffle.
-BROADCAST_HOSTS = 50_000
+#: Bits of a run's key in its bucket, and characters of pages for a bucket (about 3 million runs, so that a run
+#: meets another's key with probability 1e-8).
+KEY_BITS, BUCKET_CHARS = 48, 16 << 20
+#: Repeated runs that are broadcast; more are joined by a shuffle, dealt by so many salts.
+BROADCAST_RUNS, SALTS = 4_000_000, 16
 
 # Names in HTML.
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "noembed", "noframes", "xmp"}
@@ -260,35 +266,29 @@ def whole_runs(flags: np.ndarray, run: int = RUN) -> np.ndarray:
     return out
 
 
-def extract_group(ids: list, htmls: list[str]) -> list[tuple[str, int, int]]:
-    """Text, blocks and words removed as boilerplate for each page of a group of one host's pages."""
+def parsed(htmls: list[str]) -> tuple[list[list[Block]], np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of each page; word counts of all blocks; hash and page number of each of their words."""
     every = [blocks(h) for h in htmls]
-    numbers = {p: k for k, p in enumerate(dict.fromkeys(ids))}
-    by_page = sorted(range(len(ids)), key=lambda i: numbers[ids[i]])
-    lines, owner = [], []
-    for i in by_page:
-        lines += [b.text for b in every[i]]
-        owner += [numbers[ids[i]]] * len(every[i])
-    pages_of = np.zeros(0, np.int64)
-    counts = np.zeros(len(lines), np.int64)
-    if lines:
-        data = [x.encode("utf-8", "surrogatepass") for x in lines]
-        begin, words = word_hashes(np.frombuffer(b"\n".join([*data, b""]), np.uint8))
-        counts = np.diff(np.searchsorted(begin, np.cumsum([0, *(len(d) + 1 for d in data)])))
-        classes, met = run_counts(words, np.repeat(np.array(owner), counts))
-        pages_of = spread(met[classes])
-    least = max(LEAST_PAGES, int(np.ceil(LEAST_SHARE * len(numbers))))
+    data = [b.text.encode("utf-8", "surrogatepass") for page in every for b in page]
+    if not data:
+        return every, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    begin, words = word_hashes(np.frombuffer(b"\n".join([*data, b""]), np.uint8))
+    counts = np.diff(np.searchsorted(begin, np.cumsum([0, *(len(d) + 1 for d in data)])))
+    return every, counts, words, np.repeat(np.repeat(np.arange(len(every)), [len(page) for page in every]), counts)
+
+
+def texts(every: list[list[Block]], counts: np.ndarray, met: np.ndarray) -> list[tuple[str, int, int]]:
+    """Text, blocks and words removed as boilerplate of each page, from the pages ``met`` of each word's runs."""
     first = np.concatenate([[0], np.cumsum(counts)])
-    out: list = [None] * len(ids)
-    k = 0
-    for i in by_page:
-        own = range(k, k + len(every[i]))
-        k += len(every[i])
-        article = np.repeat(np.array([b.article for b in every[i]], bool), counts[own.start : own.stop])
-        gone = boilerplate(pages_of[first[own.start] : first[own.stop]], article, least)
+    out, k = [], 0
+    for page in every:
+        begin, end = first[k], first[k + len(page)]
+        article = np.repeat(np.array([b.article for b in page], bool), counts[k : k + len(page)])
+        gone = boilerplate(met[begin:end], article, LEAST_PAGES)
         kept, removed = [], 0
-        for j, b in zip(own, every[i], strict=True):
-            flags = whole_runs(gone[first[j] - first[own.start] : first[j + 1] - first[own.start]])
+        for b in page:
+            flags = whole_runs(gone[first[k] - begin : first[k + 1] - begin])
+            k += 1
             if not flags.any():
                 kept.append(b.text)
             else:
@@ -296,36 +296,182 @@ def extract_group(ids: list, htmls: list[str]) -> list[tuple[str, int, int]]:
                 rest = [w for w, f in zip(re.findall(r"[^\x20\x09-\x0D]+", b.text), flags.tolist(), strict=True) if not f]
                 if rest:
                     kept.append(" ".join(rest))
-        out[i] = "\n".join(kept), len(kept), removed
+        out.append(("\n".join(kept), len(kept), removed))
     return out
 
 
+def extract_group(ids: list, htmls: list[str]) -> list[tuple[str, int, int]]:
+    """Text, blocks and words removed as boilerplate for each page of a host, from all its pages."""
+    numbers = {p: k for k, p in enumerate(dict.fromkeys(ids))}
+    by_page = sorted(range(len(ids)), key=lambda i: numbers[ids[i]])
+    every, counts, words, rows = parsed([htmls[i] for i in by_page])
+    classes, met = run_counts(words, np.array([numbers[ids[i]] for i in by_page], np.int64)[rows])
+    out: list = [None] * len(ids)
+    for i, made in zip(by_page, texts(every, counts, spread(met[classes])), strict=True):
+        out[i] = made
+    return out
+
+
+def run_keys(words: np.ndarray, rows: np.ndarray, hosts: np.ndarray, bits: int, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words salted by host; key of the run that begins at each word, with its bucket above ``KEY_BITS``; whether
+    the run ends within its page."""
+    n = len(words)
+    salted = mix(words + hosts[rows]) if n else words
+    keys, whole = np.zeros(n, np.uint64), np.zeros(n, bool)
+    if n >= run:
+        m = n - run + 1
+        key = np.zeros(m, np.uint64)
+        for k in range(run):
+            key = mix(key * np.uint64(BASES[1]) + salted[k : k + m])
+        keys[:m] = key >> np.uint64(64 - bits) << np.uint64(KEY_BITS) | key & np.uint64((1 << KEY_BITS) - 1)
+        whole[:m] = rows[:m] == rows[run - 1 :]
+    return salted, keys, whole
+
+
+def group_runs(ids: list, hosts: np.ndarray, htmls: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs of a group of pages, and the distinct pages of the group with each."""
+    numbers: dict = {}
+    number = np.array([numbers.setdefault(k, len(numbers)) for k in zip(ids, hosts.tolist(), strict=True)], np.int64)
+    order = np.argsort(number, kind="stable")
+    _, _, words, rows = parsed([htmls[i] for i in order])
+    salted, keys, whole = run_keys(words, rows, hosts[order], bits)
+    classes, met = run_counts(salted, number[order][rows])
+    held, at = np.unique(classes[whole], return_index=True)
+    return keys[whole][at], met[held]
+
+
 TEXT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_blocks", T.LongType()), T.StructField("n_boilerplate", T.LongType())])
 
 
+BUCKET = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("keys", T.BinaryType()), T.StructField("counts", T.BinaryType())])
+RUNS = T.StructType([T.StructField("key", T.LongType()), T.StructField("n", T.LongType())])
+
+
 def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
+def _uint64(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+
+
+def _dealt(keys: np.ndarray, counts: np.ndarray):
+    """A row for each bucket: sorted low bytes of its keys, as planes (which compress), and counts."""
+    import pyarrow as pa
+
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order].astype(np.uint32)
+    bucket = (keys >> np.uint64(KEY_BITS)).astype(np.int32)
+    edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+    low = keys.view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
+    spans = [*zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    return pa.table({"bucket": pa.array(bucket[edges[:-1]], pa.int32()), "keys": pa.array([np.ascontiguousarray(low[a:b].T).tobytes() for a, b in spans], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())})
+
+
+def repeated_runs(rows: DataFrame, bits: int) -> DataFrame:
+    """Keys of runs on ``LEAST_PAGES`` or more distinct pages of a host, and those pages' number."""
+    pages = rows.select("salt", "page_id", "html")
+    twice = stored(pages.groupBy("salt", "page_id").count().filter("count > 1").select("salt", "page_id", F.lit(True).alias("twice")), "repeated")
+
+    def task(batches: Iterator) -> Iterator:
+        for batch in batches:
+            ids, salts, htmls = batch["page_id"].to_pylist(), _uint64(batch["salt"]), batch["html"].to_pylist()
+            found = [group_runs(ids[at : at + PAGES], salts[at : at + PAGES], htmls[at : at + PAGES], bits) for at in range(0, len(ids), PAGES)]
+            if found:
+                yield from _dealt(*map(np.concatenate, zip(*found, strict=True))).to_batches()
+
+    def one_page(table):
+        return _dealt(*group_runs(table["page_id"].to_pylist(), _uint64(table["salt"]), table["html"].to_pylist(), bits))
+
+    def add(table):
+        import pyarrow as pa
+
+        keys = [np.frombuffer(k, np.uint8).reshape(KEY_BITS // 8, -1).T for k in table["keys"].to_pylist()]
+        wide = np.zeros((sum(map(len, keys)), 8), np.uint8)
+        wide[:, : KEY_BITS // 8] = np.concatenate(keys)
+        low = wide.view(np.uint64)[:, 0]
+        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32).astype(np.int64)
+        order = np.argsort(low)
+        low, counts = low[order], counts[order]
+        at = np.concatenate([[0], np.flatnonzero(np.diff(low)) + 1])
+        total = np.add.reduceat(counts, at)
+        often = total >= LEAST_PAGES
+        key = low[at][often] | np.uint64(table["bucket"][0].as_py() << KEY_BITS)
+        return pa.table({"key": pa.array(key.view(np.int64), pa.int64()), "n": pa.array(total[often], pa.int64())})
+
+    if twice.limit(1).count():  # rows of a page meet, so that it counts once
+        same = [pages["salt"].eqNullSafe(twice["salt"]), pages["page_id"].eqNullSafe(twice["page_id"])]
+        more = pages.join(twice, same, "left_semi").distinct().groupBy("salt", "page_id").applyInArrow(one_page, BUCKET)
+        dealt = pages.join(twice, same, "left_anti").mapInArrow(task, BUCKET).unionByName(more)
+    else:
+        dealt = pages.mapInArrow(task, BUCKET)
+    found = stored(dealt.groupBy("bucket").applyInArrow(add, RUNS), "repeated-runs")
+    forget(twice)
+    return found
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks and n_boilerplate (words removed) for every row."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_of("html").alias("html"), host_of(F.col("url")).alias("host"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / PAGES).cast("int").alias("parts")).filter("parts > 1")
-    sizes = stored(sizes, "hosts")
-    if sizes.count() <= BROADCAST_HOSTS:
-        sizes = F.broadcast(sizes)
-    part = F.pmod(F.xxhash64("page_id"), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = rows.join(sizes, "host", "left").withColumn("part", F.coalesce(part, F.lit(0)))
-
-    def task(table):
+    spark = pages.sparkSession
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_of("html").alias("html"), F.xxhash64(host_of(F.col("url"))).alias("salt"))
+    chars = rows.agg(F.sum(F.length("html"))).first()[0] or 0
+    bits = min(15, max(4 * partitions(spark), -(-chars // BUCKET_CHARS)).bit_length())
+    runs = repeated_runs(rows, bits)
+
+    def made(batch, met: list[tuple[str, int, int]]):
         import pyarrow as pa
 
-        ids = table["page_id"].to_pylist()
-        made = extract_group(ids, table["html"].to_pylist())
-        return pa.table({"page_id": table["page_id"], "url": table["url"], "text": pa.array([t for t, _, _ in made], pa.string()), "n_chars": pa.array([len(t) for t, _, _ in made], pa.int64()), "n_blocks": pa.array([b for _, b, _ in made], pa.int64()), "n_boilerplate": pa.array([r for _, _, r in made], pa.int64())})
+        return pa.RecordBatch.from_pydict({"page_id": batch["page_id"], "url": batch["url"], "text": pa.array([t for t, _, _ in met], pa.string()), "n_chars": pa.array([len(t) for t, _, _ in met], pa.int64()), "n_blocks": pa.array([b for _, b, _ in met], pa.int64()), "n_boilerplate": pa.array([r for _, _, r in met], pa.int64())})
+
+    def looked_up(htmls: list[str], salts: np.ndarray, known: np.ndarray, n: np.ndarray) -> list[tuple[str, int, int]]:
+        every, counts, words, owner = parsed(htmls)
+        _, keys, whole = run_keys(words, owner, salts, bits)
+        at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+        met = np.where(whole & (known[at] == keys), n[at], 0) if len(known) else np.zeros(len(keys), np.int64)
+        return texts(every, counts, spread(met))
+
+    if runs.count() <= BROADCAST_RUNS:
+        table = runs.toArrow()
+        order = np.argsort(table["key"].to_numpy())
+        held = spark.sparkContext.broadcast((table["key"].to_numpy()[order].view(np.uint64), table["n"].to_numpy()[order]))
+
+        def task(batches: Iterator) -> Iterator:
+            for batch in batches:
+                for at in range(0, batch.num_rows, PAGES):
+                    part = batch.slice(at, PAGES)
+                    yield made(part, looked_up(part["html"].to_pylist(), _uint64(part["salt"]), *held.value))
+
+        return rows.mapInArrow(task, TEXT)
+
+    # Too many to broadcast: each row gets those it holds. Hot runs are dealt by a part of the row's key.
+    keyed = rows.withColumn("row", F.xxhash64("salt", "page_id", "html"))
+
+    def own(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    # Dealt by both, as a join by host alone would leave a host's pages in one task.
-    return dealt.select("host", "part", "page_id", "url", "html").repartition("host", "part").groupBy("host", "part").applyInArrow(task, TEXT)
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                part = batch.slice(at, PAGES)
+                _, _, words, owner = parsed(part["html"].to_pylist())
+                _, keys, whole = run_keys(words, owner, _uint64(part["salt"]), bits)
+                yield pa.RecordBatch.from_pydict({"row": pa.array(part["row"].to_numpy()[owner[whole]], pa.int64()), "key": pa.array(keys[whole].view(np.int64), pa.int64())})
+
+    deal = F.pmod("row", F.lit(SALTS)).cast("int")
+    each = keyed.mapInArrow(own, "row long, key long").distinct().withColumn("salt", deal)
+    shared = runs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    lists = each.join(shared, ["key", "salt"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("runs"))
+
+    def listed(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                part = batch.slice(at, PAGES)
+                met = []
+                for text, salt, found in zip(part["html"].to_pylist(), _uint64(part["salt"]), part["runs"].to_pylist(), strict=True):
+                    known = np.array([r["key"] for r in found or ()], np.int64).view(np.uint64)
+                    met += looked_up([text], np.array([salt]), known, np.array([r["n"] for r in found or ()], np.int64))
+                yield made(part, met)
+
+    return keyed.join(lists, "row", "left").select("page_id", "url", "html", "salt", "runs").mapInArrow(listed, TEXT)
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,6 +282,21 @@ def test_covered_equals_brute_force():
         assert (html.covered(words, pages, least, run) == want).all()
 
 
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_repetition_is_counted_over_the_host(spark, monkeypatch, most):
+    monkeypatch.setattr(html, "BROADCAST_RUNS", most)
+    line = "Read all about this section in our weekly letter"
+    rows = [(k, f"http://a.example/{k}", f"<p>own words {k} of page {k * 7} alone {k * 3} and {k * 5}</p>" + f"<p>{line}</p>" * (k % 100 == 0)) for k in range(400)]
+    rows += [(1000 + k % 2, f"http://b.example/{k}", f"<p>{line}</p><p>page {k}</p>") for k in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = html.extract(pages).collect()
+    assert len(got) == 404
+    assert sum(r["n_boilerplate"] for r in got if r["page_id"] < 1000) == 4 * 9
+    assert not any(line in r["text"] for r in got if r["page_id"] < 1000)
+    # two pages of another host, each in two rows
+    assert all(r["text"].startswith(line) for r in got if r["page_id"] >= 1000)
+
+
 def test_pages_table(spark):
     rows = [(1, "http://A.example/x", PAGE, "z"), (2, None, None, "z"), (1, "http://a.example/x", PAGE, "z"), (3, "nohost", "<p>x</p>", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
