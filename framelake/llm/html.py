@@ -2,7 +2,9 @@
 
 A page is read as a stream of tags and text into blocks. Elements that by name, role, class or id are menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments are left out; blocks in
-an ``article`` or ``main`` element are marked as the article.
+an ``article`` or ``main`` element are marked as the article. A token of a class or id counts as a whole.
+Unless hidden, elements that hold a page's main element, its only articles or (by class, id, role, form) most of
+the text of a page without articles stay.
 
 Pages are read in groups of ``PAGES`` as they lie. A group's pages are concatenated as one stream of ranks of
 words (salted by host), with a separator of its own after each page. Prefix doubling sorts all suffixes by their
@@ -59,38 +61,58 @@ NAMED = set(
     "aside menu menus nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar comment comments commentlist respond reply replies disqus share sharing social related recommended "
     "newsletter subscribe subscription signup login popup modal overlay pagination pager widget widgets form search skip hidden".split()
 )
+#: Parts that may stand beside a name in a token of a class or id ("ad-top", "widget-area"); others make it another
+#: word ("has-sidebar", "no-header", "overflow-hidden").
+BESIDE = set(
+    "top bottom left right middle center upper lower main primary secondary global site page web blog post entry article content body inner outer first last "
+    "bar box block area list item items link links button buttons btn container wrapper wrap holder group panel section region row col column unit slot zone space "
+    "text title label info message msg policy law icon icons image img logo desktop mobile sticky fixed small large big new the and a to us me my your is by for "
+    "visually email mail letter input field google dfp media article articles posts stories".split()
+)
 #: Parts of an article's own frame that aren't left out within it.
 WITHIN = {"header"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|aria-label)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORD = re.compile(r"[a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-def left_out(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is no part of an article; ``inside`` if one is open."""
+def names_of(value: str) -> set[str]:
+    """The names in tokens of a class or id that consist of such names, and of words that may stand beside one."""
+    out: set[str] = set()
+    for token in value.split():
+        parts = [w for w in _WORD.findall(_CAMEL.sub(" ", token).lower()) if not w.isdigit()]
+        names = NAMED.intersection(parts)
+        if names and all(w in names or w in BESIDE for w in parts):
+            out |= names
+    return out
+
+
+def left_out(tag: str, attributes: str, inside: bool) -> str:
+    """Why an element is no part of an article: "tag", "hidden" or "name", or ""; ``inside`` if one is open."""
     if tag in LEFT_OUT and not (inside and tag in WITHIN):
-        return True
+        return "name" if tag in ("form", "fieldset") else "tag"
     if not attributes.strip():
-        return False
+        return ""
+    why = ""
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in ROLES:
-            return True
+            return "hidden"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return "hidden"
+        if name == "role" and value.lower() in ROLES:
+            why = "name"
         if name in ("class", "id") and tag not in ("html", "body", "main"):
-            words = set(_WORD.findall(_CAMEL.sub(" ", value).lower()))
+            words = names_of(value)
             if tag == "article":
                 words &= {"comment", "comments", "reply", "ad", "advert", "sponsored", "related", "promo"}
             elif inside:
                 words -= WITHIN
-            if words & NAMED:
-                return True
-    return False
+            if words:
+                why = "name"
+    return why
 
 
 @dataclass
@@ -99,12 +121,43 @@ class Block:
     article: bool
 
 
+@dataclass
+class Span:
+    """An element that is left out by its tag or name: where it begins and ends, and its characters of text."""
+
+    begin: int
+    end: int
+    why: str
+    chars: int
+
+
 def blocks(page: str) -> list[Block]:
-    """Blocks of visible text that no left-out element holds, in page order."""
+    """Blocks of visible text that no left-out element holds, in page order.
+
+    An element left out by tag or name stays if it holds a main element or, where no article is left, articles.
+    One left out by name stays if no article is left anywhere and it holds over half of the page's text.
+    """
+    out, spans, mains, articles, seen = read(page, set())
+    bare = not any(b.article for b in out)
+    marks = np.array(sorted(mains + articles if bare else mains), np.int64)
+    keep = set()
+    for span in spans:
+        if np.searchsorted(marks, span.begin, "right") < np.searchsorted(marks, span.end) or bare and not len(marks) and span.why == "name" and 2 * span.chars > seen:
+            keep.add(span.begin)
+    return read(page, keep)[0] if keep else out
+
+
+def read(page: str, keep: set[int]) -> tuple[list[Block], list[Span], list[int], list[int], int]:
+    """Blocks; elements left out, but those that begin at ``keep``; begins of main elements and of articles; seen
+    characters of text."""
     out: list[Block] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, left out, in an article
-    out_now = article_now = False
+    stack: list[tuple[str, bool, bool, bool, Span | None]] = []  # name, left out, in an article, unseen, span
+    spans: list[Span] = []
+    mains: list[int] = []
+    articles: list[int] = []
+    out_now = article_now = unseen_now = False
+    seen = 0
 
     def end_block() -> None:
         if held:
@@ -113,13 +166,22 @@ def blocks(page: str) -> list[Block]:
             if text := " ".join(text.split()):
                 out.append(Block(text, article_now))
 
+    def close(i: int) -> tuple[bool, bool, bool]:
+        for *_, span in stack[i:]:
+            if span:
+                span.end, span.chars = at, seen - span.chars
+        del stack[i:]
+        return stack[-1][1:4] if stack else (False, False, False)
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else n
-        if stop > at and not out_now:
+        if stop > at and not unseen_now:
             text = page[at:stop]
-            held.append(html.unescape(text) if "&" in text else text)
+            seen += len(text.strip())
+            if not out_now:
+                held.append(html.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
@@ -132,8 +194,8 @@ def blocks(page: str) -> list[Block]:
         if not closing:
             if name in RAW:
                 if not attributes.endswith("/"):
-                    close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                    at = close.end() if close else n
+                    ending = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                    at = ending.end() if ending else n
                 continue
             if name in VOID:
                 if name in ("br", "wbr"):
@@ -146,23 +208,28 @@ def blocks(page: str) -> list[Block]:
                 if name == "p":  # a paragraph ends where the next begins
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] == "p":
-                            del stack[i:]
-                            out_now, article_now = stack[-1][1:] if stack else (False, False)
+                            out_now, article_now, unseen_now = close(i)
                             break
                         if stack[i][0] not in INLINE:
                             break
             if attributes.endswith("/") and name in INLINE:
                 continue
-            gone = out_now or left_out(name, attributes, article_now)
-            stack.append((name, gone, article_now or name in ARTICLE and not gone))
-            out_now, article_now = stack[-1][1:]
+            why = "" if m.start() in keep else left_out(name, attributes, article_now)
+            span = None
+            if why in ("tag", "name"):
+                span = Span(m.start(), n, why, seen)
+                spans.append(span)
+            elif name in ARTICLE and not why and not unseen_now:
+                (mains if name == "main" else articles).append(m.start())
+            gone = out_now or bool(why)
+            stack.append((name, gone, article_now or name in ARTICLE and not gone, unseen_now or why in ("tag", "hidden"), span))
+            out_now, article_now, unseen_now = stack[-1][1:4]
         else:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     if name not in INLINE:
                         end_block()
-                    del stack[i:]
-                    out_now, article_now = stack[-1][1:] if stack else (False, False)
+                    out_now, article_now, unseen_now = close(i)
                     break
                 if name in INLINE and stack[i][0] not in INLINE:
                     break
@@ -170,7 +237,8 @@ def blocks(page: str) -> list[Block]:
                 if name not in INLINE:
                     end_block()
     end_block()
-    return out
+    close(0)
+    return out, spans, mains, articles, seen
 
 
 def suffix_ranks(ranks: np.ndarray, depth: int = DEPTH) -> list[np.ndarray]:

@@ -241,6 +241,22 @@ def test_article_text():
     assert html.extract_group([1], ["<p>open <script>never ends"])[0][0] == "open"
 
 
+@pytest.mark.parametrize("opened", ["<div class='layout has-sidebar'>", "<div class='no-header'>", "<div class='overflow-hidden'>", "<div class='widget' id='search'>", "<form id='form1'>"])
+def test_wrappers_of_an_article_stay(opened):
+    close = opened[1:].split(" ")[0]
+    page = f"{opened}<nav>Home</nav><article><p>All of <a href='/hidden-falls' title='a hidden gem'>the falls</a></p></article><div class='ad-top'>Buy</div></{close}>"
+    assert html.extract_group([1], [page])[0][0] == "All of the falls"
+    page = f"{opened}<p>All of the text that this page without any article has</p></{close}><div class='ad'>Buy</div>"
+    assert html.extract_group([1], [page])[0][0] == "All of the text that this page without any article has"
+
+
+def test_names_are_whole_attributes_and_tokens():
+    assert html.left_out("div", ' class="cookie-notice"', False) and html.left_out("div", " hidden", False) and html.left_out("p", " id=ad-top", True)
+    assert html.left_out("div", ' data-x="1" class="widget-area left"', False) and html.left_out("div", ' class="siteFooter"', False)
+    for attributes in (' href="/hidden-falls"', ' title="a hidden gem"', ' data-class="ad"', ' class="has-sidebar"', ' data-hidden="1"'):
+        assert not html.left_out("div", attributes, False)
+
+
 def test_repeated_runs_go_where_no_article_is_marked():
     def page(k):
         return f"<div>Welcome to this fine site of ours today</div><div>own words number {k} of page {k * 7} alone {k * 3}</div><div>All rights are reserved by the owner of it</div>"
