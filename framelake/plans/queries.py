@@ -116,6 +116,8 @@ QUERIES: dict[str, Query] = {
     "near_dup_pairs": _manifest(lambda m: duplicates.near_pairs(m).select("a", "b", "distance")),
     "near_dup_pairs_exact": _manifest(lambda m: duplicates.near_pairs(m, threshold=3, exact_recall=True).select("a", "b", "distance")),
     "near_dup_clusters": _manifest(duplicates.near_clusters),
+    "near_dup_pairs_exact_8": _manifest(lambda m: duplicates.near_pairs(m, exact_recall=True).select("a", "b", "distance")),
+    "near_dup_clusters_exact_8": _manifest(lambda m: duplicates.near_clusters(m, exact_recall=True)),
     "leakage_exact": _splits(leakage.exact),
     "leakage_near_pairs": _splits(lambda s: leakage.near_pairs(s, fx.SPLITS).select("split_a", "split_b", "path_a", "path_b", "distance")),
     "leakage_report": _splits(lambda s: leakage.report(s, fx.SPLITS)),

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from framelake.plans.fixtures import manifest
 from framelake.plans.oracle import ORACLE
 from framelake.plans.queries import QUERIES
 
@@ -59,3 +60,22 @@ def test_leakage_report_without_sql(spark):
     used = [p for r in near for p in (r["path"], r["matched_path"])]
     exact = {r["path"] for r in found if r["match_type"] == "exact"}
     assert len(used) == len(set(used)) and not exact & set(used)
+
+
+def test_exact_recall_finds_what_the_cap_skips(spark, tmp_path):
+    """Over 500 rows of one hash, and every pair at threshold 8, against brute force."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    same = spark.range(10_000, 10_900).selectExpr("id as doc_id", "'one short text' as text", "'en' as lang", "'web' as source", "14 as n_chars")
+    docs.unionByName(same.select(*[same[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])).write.parquet(f"{tmp_path}/documents.parquet")
+    held = [(r["row_idx"], int(r["phash"], 16)) for r in manifest(spark, str(tmp_path)).filter("phash <> '' and not is_corrupt").orderBy("row_idx").collect()]
+    first: dict = {}
+    for k, h in held:
+        first.setdefault(h, k)
+    nodes = [(k, h) for h, k in first.items()]
+    want = {(min(a, b), max(a, b), (g ^ h).bit_count()) for i, (a, g) in enumerate(nodes) for b, h in nodes[:i] if (g ^ h).bit_count() <= 8}
+    want |= {(first[h], k, 0) for k, h in held if first[h] != k}
+    got = QUERIES["near_dup_pairs_exact_8"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+    clusters = {r["row_idx"]: r["cluster"] for r in QUERIES["near_dup_clusters_exact_8"](spark, str(tmp_path)).collect()}
+    copies = [k for k, _ in held if k >= 10_000]
+    assert len(copies) > 500 and len({clusters[k] for k in copies}) == 1
