@@ -15,9 +15,12 @@ Range partitioning on the document id puts shards and the records in them in asc
 its shard under a name of its own attempt and returns the index rows through Spark, so only files of the
 attempt that counted are referenced: a lost executor leaves an unreferenced file, never a double record.
 
-Defined cases: null text is the empty text (a record with the end id alone); null ids sort first; rows that
-repeat an id are each kept, ordered by text; an empty table gives no shard and an empty index; extra columns
-are ignored.
+Texts that name an added token of the vocabulary get its id, as the library gives by default; such texts and
+those with odd spacing are encoded one by one, all others by their distinct segments.
+
+Defined cases: null text is the empty text (a record with the end id alone); a text of any length is one
+record, encoded whole; null ids sort first; rows that repeat an id are each kept, ordered by text; an empty
+table gives no shard and an empty index; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,9 +42,9 @@ MAGIC = b"TOKREC\x00\x01"
 HEADER = "<8sII"
 MASK_DELTA = 0xA282EAD8
 #: Distinct segments kept in a worker's cache, per generation.
-CACHE = 300_000
-#: Bytes of payloads a read batch holds.
-READ_BYTES = 8 << 20
+CACHE = 500_000
+#: Bytes of payloads a read batch holds; bytes of texts encoded at a time.
+READ_BYTES, CHUNK = 8 << 20, 16 << 20
 
 INDEX = T.StructType(
     [
@@ -80,87 +83,139 @@ def unframe(data: bytes, at: int = 0) -> tuple[bytes, int]:
     return payload, at + 16 + n
 
 
-_SPACED = re.compile(r"\s ")
+# A space that doesn't begin a piece of its own: at the start of a text, or after white space.
+_SPACED = re.compile(r"\s |^ ")
+_SPACED_RE2 = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}] |^ "
 _CUT = re.compile(r"(?<=\S)(?= )")
 _LINES = re.compile(r"(?<=\S)(\n+)(?=\S)")
 _TAIL = ".,!?;:"
 
 
-class _Spaced(dict):
-    """Ids by segment; what is absent is encoded on the way."""
-
-    def __init__(self, owner: SegmentEncoder):
-        self.owner = owner
-
-    def __missing__(self, seg: str) -> bytes:
-        return self.owner.miss(seg, True)
-
-
 class SegmentEncoder:
-    """Encodes whole texts with the tokenizers library, each distinct segment once.
+    """Encodes whole texts as the tokenizers library does, each distinct segment once.
 
     Byte-level pre-tokenization starts a piece at every run of white space, and merges never cross pieces.
     So ids of a text are the ids of its segments, each cut before a space that follows a visible character,
-    joined. The library encodes what the cache lacks. Two generations bound the cache.
+    joined. The library encodes what the cache lacks; texts that hold an added token go to it whole. Two
+    generations bound the cache.
     """
 
     def __init__(self, path: str, size: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.model = self.tok.model.tokenize
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.size = size
-        self.spaced: dict[str, bytes] = _Spaced(self)
-        self.bare: dict[str, bytes] = {}
-        self.old: tuple[dict, dict] = ({}, {})
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        #: Ids by segment: those that a space comes before, and others.
+        self.held: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
-        self.alphabet = {b: chr(b) if b in set(visible) else chr(next(rest)) for b in range(256)}
+        self.alphabet = {b: chr(b) if b in visible else chr(next(rest)) for b in range(256)}
+        self.space = self.alphabet.pop(32)
+        self.newline = self.alphabet.pop(10)
+        self.packers = [struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}").pack for n in range(64)]
 
     def pack(self, ids) -> bytes:
-        import numpy as np
-
-        return np.asarray(ids, f"<u{self.width}").tobytes()
+        if len(ids) < 64:
+            return self.packers[len(ids)](*ids)
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def library(self, s: str) -> bytes:
-        body = s[1:] if s[:1] == " " else s
-        if body.isalpha():  # one piece: the library's model alone
-            return self.pack([t.id for t in self.tok.model.tokenize(s.encode().decode("latin-1").translate(self.alphabet))])
         return self.pack(self.tok.encode(s, add_special_tokens=False).ids)
 
     def miss(self, seg: str, space: bool) -> bytes:
-        now, old = (self.spaced, self.old[0]) if space else (self.bare, self.old[1])
-        got = old.get(seg)
-        if got is None:
-            parts = _LINES.split(seg)
-            body = seg.rstrip(_TAIL)
-            if len(parts) > 1:
-                # Before a visible character the last of several newlines is a piece of its own.
-                lines = [q for k, p in enumerate(parts[1:]) for q in ((p[1:], "\n") if k % 2 == 0 else (p,)) if q]
-                got = self.one(parts[0], space) + b"".join(self.one(q, False) for q in lines)
-            elif body != seg and body and body[-1].isalpha():
-                got = self.one(body, space) + self.one(seg[len(body) :], False)
+        """A segment that isn't letters and the punctuation after them."""
+        if "\n" in seg and len(parts := _LINES.split(seg)) > 1:
+            # Before a visible character the last of several newlines is a piece of its own.
+            lines = [q for k, p in enumerate(parts[1:]) for q in ((p[1:], "\n") if k % 2 == 0 else (p,)) if q]
+            return b"".join(self.several([parts[0]], space) + self.several(lines, False))
+        return self.library(" " + seg if space else seg)
+
+    def several(self, segs: list[str], space: bool) -> list[bytes]:
+        """The ids of segments, none of them empty unless after a space."""
+        held, old = self.held[not space], self.old[not space]
+        bodies = [b if (b := s.rstrip(_TAIL)) is s or b and b[-1].isalpha() else s for s in segs]
+        words = []
+        for b in dict.fromkeys(b for b in bodies if b not in held):
+            if (got := old.get(b)) is not None:
+                held[b] = got
+            elif b.isalpha():
+                words.append(b)
             else:
-                got = self.library(" " + seg if space else seg)
-        if len(now) >= self.size:
-            self.old = (self.spaced, self.bare)
-            self.spaced, self.bare = _Spaced(self), {}
-            now = self.spaced if space else self.bare
-        now[seg] = got
+                held[b] = self.miss(b, space)
+        if words:  # each is one piece: the library's model alone
+            before = self.space if space else ""
+            for b, spelled in zip(words, "\n".join(words).encode().decode("latin-1").translate(self.alphabet).split("\n"), strict=True):
+                held[b] = self.pack([t.id for t in self.model(before + spelled)])
+        return [held[b] if b is s else held[b] + self.tail(s[len(b) :]) for s, b in zip(segs, bodies, strict=True)]
+
+    def tail(self, s: str) -> bytes:
+        if not s:
+            return b""
+        if (got := self.held[1].get(s)) is None:
+            got = self.held[1][s] = self.library(s)
         return got
 
-    def one(self, seg: str, space: bool) -> bytes:
-        got = (self.spaced if space else self.bare).get(seg)
-        return self.miss(seg, space) if got is None else got
+    def rotate(self) -> None:
+        if len(self.held[0]) + len(self.held[1]) >= self.size:
+            self.old, self.held = self.held, ({}, {})
 
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if _SPACED.search(text) or text[0] == " ":
-            return b"".join(self.one(s[1:], True) if s[0] == " " else self.one(s, False) for s in _CUT.split(text))
-        first, *segs = text.split(" ")
-        return b"".join([self.one(first, False), *map(self.spaced.__getitem__, segs)])
+        if any(t in text for t in self.added):
+            return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
+        if _SPACED.search(text):
+            segs = _CUT.split(text)
+            spaced = iter(self.several([s[1:] for s in segs if s[0] == " "], True))
+            bare = iter(self.several([s for s in segs if s[0] != " "], False))
+            out = b"".join(next(spaced if s[0] == " " else bare) for s in segs)
+        else:
+            first, *segs = text.split(" ")
+            out = b"".join(self.several([first], False) + self.several(segs, True))
+        self.rotate()
+        return out
+
+    def many(self, texts) -> list[bytes]:
+        """The ids of an Arrow array of texts without nulls: its distinct segments are found and put back by
+        Arrow, a chunk of ``CHUNK`` bytes (or a single text) at a time."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out: list[bytes] = [b""] * len(texts)
+        texts = texts.cast(pa.large_string())
+        odd = pc.match_substring_regex(texts, _SPACED_RE2)
+        for t in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, t))
+        odd = odd.to_numpy(zero_copy_only=False)
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self(texts[i].as_py())
+        plain = np.flatnonzero(~odd)
+        edges = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)[plain])])
+        begin = 0
+        while begin < len(plain):
+            end = max(begin + 1, int(np.searchsorted(edges, edges[begin] + CHUNK, "right")) - 1)
+            own, begin = plain[begin:end], end
+            parts = pc.split_pattern(texts.take(pa.array(own)), " ")
+            at = parts.offsets.to_numpy().astype(np.int64)
+            coded = parts.flatten().dictionary_encode()
+            known, place = coded.dictionary, coded.indices.to_numpy().copy()
+            first = known.take(pa.array(place[at[:-1]])).to_pylist()  # no space before these
+            bare = iter(self.several([s for s in first if s], False))
+            place[at[:-1]] = len(known) + np.arange(len(own))
+            values = self.several(known.to_pylist(), True) + [next(bare) if s else b"" for s in first]
+            joined = pa.array(values, pa.large_binary()).take(pa.array(place))
+            self.rotate()
+            _, offsets, data = joined.buffers()
+            ends = np.frombuffer(offsets, np.int64)[joined.offset :][at].tolist()
+            held = memoryview(data) if data is not None else b""
+            for i, a, b in zip(own.tolist(), ends, ends[1:], strict=False):
+                out[i] = bytes(held[a:b])
+        return out
 
 
 _ENCODERS: dict[str, SegmentEncoder] = {}
@@ -196,14 +251,14 @@ def write_records(docs: DataFrame, out: str, tokenizer: str, end_id: int | None
         try:
             for batch in batches:
                 cols: list[list] = [[] for _ in INDEX]
-                for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+                for doc_id, ids in zip(batch["doc_id"].to_pylist(), enc.many(batch["text"]), strict=True):
                     if sink is None:
                         uri = f"{out}/data/shard-{shard:06d}-{uuid.uuid4().hex}.rec"
                         fs, path = opened(uri)
                         fs.create_dir(path.rpartition("/")[0])
                         sink = fs.open_output_stream(path)
                         at = sink.write(struct.pack(HEADER, MAGIC, enc.width, 0))
-                    payload = enc(text.as_py()) + tail
+                    payload = ids + tail
                     sink.write(rec := frame(payload))
                     for c, v in zip(cols, (doc_id, shard, uri, at, len(rec), len(payload) // enc.width, first), strict=True):
                         c.append(v)

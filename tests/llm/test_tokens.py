@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -21,9 +22,7 @@ TEXTS = ["", "a", " ", "  a", "a ", "don't 'll''s", "x\n\n y\t z", "über 中文
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(JSON)
 
 
 @pytest.fixture(scope="module")
@@ -56,6 +55,25 @@ def test_segments_encode_as_the_library(library, text):
     assert np.frombuffer(enc(text), "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+ODD = ["a<|endoftext|>b", "<|endoftext|>", " x", "x\u00a0 y", "x\u2003 y\x85 z", "a\x1c b", "a\x0b b", "a\n\n b", "", "a  b", "\n"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet="ab \n\t.,!'1é中\u00a0\u2003\x1c s", max_size=30), st.sampled_from([*TEXTS, *ODD])), max_size=8))
+def test_columns_encode_as_the_library(library, texts):
+    enc = token_records.SegmentEncoder(JSON, size=9)
+    got = [np.frombuffer(p, "<u2").tolist() for p in enc.many(pa.array(texts, pa.string()))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_long_and_chunked_texts(library, monkeypatch):
+    monkeypatch.setattr(token_records, "CHUNK", 50)
+    texts = ["word other, " * 40_000, *ODD, "tail of it " * 30, "", "end"]
+    enc = token_records.SegmentEncoder(JSON)
+    got = [np.frombuffer(p, "<u2").tolist() for p in enc.many(pa.array(texts, pa.string()))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_records(spark, library, tmp_path):
     texts = [None, *TEXTS]
     out = f"file://{tmp_path}"
