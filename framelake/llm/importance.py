@@ -2,21 +2,27 @@
 
 A text is a bag of hashed n-grams: words, pairs of words, word shapes and pairs of shapes (with a mark for a
 word said twice in a row). The target model counts the n-grams of texts labelled good, the raw model those of
-all texts. The log ratio of a text is the mean over its n-grams of log p_target - log p_raw; texts unlike the
-target lie well below zero.
+all texts. The log ratio of a text is log p_target - log p_raw of its whole bag, the sum over its n-grams; texts
+unlike the target lie far below zero, the more so the longer they are.
 
 Sampling k texts without replacement, each with probability in proportion to exp(ratio / temperature), is
 taking the k largest of ratio / temperature + Gumbel noise. The noise comes from a seeded hash of the id, so
-a run repeats. k is the number of texts whose ratio reaches the cut that splits the labelled texts best.
+a run repeats. The temperature is ``TEMPERATURE``, the n-grams that a word is part of (itself, two pairs, and
+their shapes), as these repeat one another's evidence. Where the evidence is clear the noise changes little; among
+texts too short or too mixed to tell, it decides.
 
-The target and the cut are fitted on a bounded sample of labelled rows (``LABELLED``, those with the least
-hashes); the raw model, k and the sample cover every text. A model is ``BUCKETS`` counts. The k-th largest is
-found by two rounds of counts in bins, so no task orders all texts.
+k is a budget: ``share`` of the texts that have words or, by default, the number of texts whose ratio reaches the
+cut that splits the labelled texts best, so that the sample is as large as the clean part of the corpus.
 
-Defined cases: null texts and texts without words have ratio null and are not taken; without labels for both
-classes all others are taken; labels that are null are not used, repeated ones count each; rows that share an
-id share their noise, so equal ones are taken together; a null id counts as the id 0 for noise; an empty
-table gives no rows; extra columns are passed on, but those named as the ones added here are replaced.
+The target and the cut are fitted on a bounded sample of labelled rows (``LABELLED``, those with the least
+hashes); the raw model, k and the sample cover every text. A model is ``BUCKETS`` counts. The k-th largest key is
+found by counts in ``BINS`` bins, narrowed round by round, so no task orders all texts.
+
+Defined cases: null texts and texts without words have ratio null and are not taken; texts of any length are
+read whole; without labels for both classes all others are taken; labels that are null are not used, repeated
+ones count each; equal keys at the k-th place are all taken; rows that share an id share their noise, so equal
+ones are taken together; a null id counts as the id 0 for noise; an empty table gives no rows; extra columns are
+passed on, but those named as the ones added here are replaced.
 """
 
 from __future__ import annotations
@@ -24,19 +30,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
 from .common import chunks, forget, stored, text_of
 from .hashing import BASES, mix, word_hashes
 
-BUCKETS, LABELLED, TEMPERATURE, SEED = 1 << 14, 20_000, 0.01, 23
+BUCKETS, LABELLED, TEMPERATURE, SEED = 1 << 14, 20_000, 6.0, 23
 #: Added to each bucket's count, as a share of its model's mean.
 SMOOTHING = 0.01
-#: Bins to a unit of the keys, in the first and the second round.
-COARSE, FINE = 100, 100_000_000
+#: Bins of a round, and keys that are few enough to be ordered.
+BINS, FEW = 4096, 4096
 
 
 def _classes() -> np.ndarray:
@@ -105,7 +110,7 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 
 
 def scored(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", name: str = "log_ratio") -> DataFrame:
-    """``docs`` with their mean log ratio, null where a text has no words."""
+    """``docs`` with their log ratio, null where a text has no words."""
     docs = docs.drop(name)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
@@ -120,7 +125,7 @@ def scored(docs: DataFrame, ratios: np.ndarray, text_col: str = "text", name: st
                     size = len(texts) - at - first
                     total[at + first :] += np.bincount(owner, ratios[bucket], size)
                     n[at + first :] += np.bincount(owner, minlength=size)
-            score = pa.array(np.where(n > 0, total / np.maximum(n, 1), np.nan), mask=n == 0)
+            score = pa.array(total, mask=n == 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, score], names=schema.names)
 
     return docs.mapInArrow(task, schema)
@@ -142,45 +147,58 @@ def best_cut(scores: np.ndarray, good: np.ndarray) -> float:
 
 
 def kth_key(keys: DataFrame, k: int) -> float:
-    """The k-th largest of the column ``key``, with COARSE and then FINE bins; -inf where there are fewer."""
-
-    def bins(rows: DataFrame, width: int, rest: int):
-        """The bin that the rest-th largest is in, and how many lie above that bin."""
-        per = rows.groupBy(F.floor(F.col("key") * width).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"))
-        upto = per.withColumn("upto", F.sum("n").over(W.orderBy(F.desc("bin"))))
-        return upto.filter(F.col("upto") >= rest).orderBy("upto").limit(1).collect()
-
-    found = bins(keys, COARSE, k)
-    if not found or k <= 0:
-        return -np.inf if k > 0 else np.inf
-    top = found[0]
-    rest = k - (top["upto"] - top["n"])
-    own = keys.filter(F.floor(F.col("key") * COARSE) == top["bin"])
-    fine = bins(own, FINE, rest)[0]
-    rest -= fine["upto"] - fine["n"]
-    last = own.filter(F.floor(F.col("key") * FINE) == fine["bin"]).orderBy(F.desc("key")).limit(rest).agg(F.min("key")).collect()
-    return last[0][0]
-
-
-def sampled(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, labelled: int = LABELLED, seed: int = SEED) -> DataFrame:
+    """The k-th largest of the column ``key``; -inf where there are fewer, inf for k < 1.
+
+    Each round counts keys in ``BINS`` equal bins between the least and the largest that are left, and goes on
+    with the bin that the k-th is in, until that holds ``FEW`` keys or one value.
+    """
+    if k < 1:
+        return np.inf
+    rest = k
+    while True:
+        low, high, n = keys.agg(F.min("key"), F.max("key"), F.count("key")).first()
+        if n < rest:
+            return -np.inf
+        if low == high:
+            return low
+        if n <= FEW:
+            return keys.orderBy(F.desc("key")).limit(rest).agg(F.min("key")).first()[0]
+        place = F.least(F.floor((F.col("key") - F.lit(low)) * F.lit(BINS / (high - low))), F.lit(BINS - 1)).cast("int")
+        upto = 0
+        for r in sorted(keys.groupBy(place.alias("bin")).count().collect(), reverse=True):  # BINS rows at most
+            if upto + r["count"] >= rest:
+                break
+            upto += r["count"]
+        rest -= upto
+        keys = keys.filter(place == r["bin"])
+
+
+def noise(doc_id, seed) -> Column:
+    """Standard Gumbel noise of an id."""
+    u = (F.pmod(F.xxhash64(seed, F.coalesce(doc_id.cast("long"), F.lit(0))), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return -F.log(-F.log(u))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, share: float | None = None, temperature: float = TEMPERATURE, labelled: int = LABELLED, seed: int = SEED) -> DataFrame:
     """``docs`` (doc_id, text, ...) with log_ratio, gumbel_key and selected; ``labels``: doc_id, quality."""
     docs = docs.drop("log_ratio", "gumbel_key", "selected")
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good")).dropna()
     ids = ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "good").limit(labelled)
-    own = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id"), "labelled")
+    # No more than ``labelled`` ids are broadcast, so the texts aren't shuffled.
+    own = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id"), "labelled")
     raw = counted(docs)
     target = counted(own.filter("good"))
     ratios = log_ratios(target, raw) if target.any() else np.zeros(BUCKETS)
-    known = scored(own, ratios).select("log_ratio", "good").dropna().collect()  # no more than labelled rows
-    forget(own)
-    cut = best_cut(np.array([r["log_ratio"] for r in known]), np.array([r["good"] for r in known], bool)) if known else -np.inf
-    u = (F.pmod(F.xxhash64(F.lit(seed + 1), F.coalesce(F.col("doc_id").cast("long"), F.lit(0))), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    key = F.col("log_ratio") / F.lit(temperature) - F.log(-F.log(u))
-    out = scored(docs, ratios).withColumn("gumbel_key", key)
+    out = scored(docs, ratios).withColumn("gumbel_key", F.col("log_ratio") / F.lit(temperature) + noise(F.col("doc_id"), F.lit(seed + 1)))
     small = stored(out.select(F.col("gumbel_key").alias("key"), "log_ratio").dropna(), "keys")
-    k = small.filter(F.col("log_ratio") >= F.lit(float(cut))).count()
+    if share is not None:
+        k = int(np.ceil(share * small.count()))
+    else:
+        known = scored(own, ratios).select("log_ratio", "good").dropna().limit(labelled).collect()
+        cut = best_cut(np.array([r["log_ratio"] for r in known]), np.array([r["good"] for r in known], bool)) if known else -np.inf
+        k = small.filter(F.col("log_ratio") >= F.lit(float(cut))).count()
     least = kth_key(small, k)
-    forget(small)
+    forget(small, own)
     return out.withColumn("selected", F.coalesce(F.col("gumbel_key") >= F.lit(float(least)), F.lit(False)))
 
 

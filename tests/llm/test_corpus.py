@@ -188,29 +188,91 @@ def quality_docs(n=300, seed=8):
     return rows, labels
 
 
-def test_importance_resampling(spark):
+MASK = (1 << 64) - 1
+
+
+def mixed(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
+    return x ^ (x >> 31)
+
+
+def plain_buckets(text):
+    """N-grams of a text in plain Python: each word, shape, and pair of these, by bucket."""
+    one, two = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+    words, shapes = [], []
+    for w in re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode()):
+        h = 0
+        for base in (one, two):
+            total = 0
+            for i, c in enumerate(w.lower()):
+                total += (c + 1) * pow(base, i, 1 << 64)
+            h = mixed((h * two + total) & MASK)
+        words.append(h)
+        upper, lower = len(re.findall(rb"[A-Z]", w)), len(re.findall(rb"[a-z\x80-\xff]", w))
+        digit = len(re.findall(rb"[0-9]", w))
+        s = 0
+        for n, most in ((upper, 3), (lower, 1), (digit, 1), (len(w) - upper - lower - digit, 4)):
+            s = s * 8 + min(n, most)
+        shapes.append(mixed((s * 256 + (0 if re.match(rb"[A-Za-z0-9\x80-\xff]", w[-1:]) else w[-1])) & MASK))
+    grams = [*words, *(mixed((s + 1) & MASK) for s in shapes)]
+    for k in range(1, len(words)):
+        grams.append(mixed((words[k - 1] * two + words[k]) & MASK))
+        grams.append(mixed(((shapes[k - 1] * two + shapes[k]) * 2 + (words[k - 1] == words[k])) & MASK))
+    return [mixed(g) >> (64 - importance.BUCKETS.bit_length() + 1) for g in grams]
+
+
+def plain_sample(spark, rows, labels, temperature, k=None):
+    """log ratio and key of each row, and the k-th key, in plain Python (noise: Spark's hash of seed and id)."""
+    bags = [plain_buckets(t) for _, t in rows]
+    ids = [i for i, _ in rows]
+
+    def model(numbers):
+        count = np.zeros(importance.BUCKETS)
+        for n in numbers:
+            for b in bags[n]:
+                count[b] += 1
+        count += importance.SMOOTHING * count.mean()
+        return np.log(count / count.sum())
+
+    ratio = model([ids.index(i) for i, q in labels if q]) - model(range(len(rows)))
+    log = [math.fsum(ratio[b] for b in bag) if bag else None for bag in bags]
+    hashes = [r[0] for r in spark.createDataFrame([(n, i or 0) for n, i in enumerate(ids)], "n long, i long").orderBy("n").selectExpr(f"xxhash64({importance.SEED + 1}, i)").collect()]
+    noise = [-math.log(-math.log((h % (1 << 52) + 0.5) / (1 << 52))) for h in hashes]
+    keys = [None if r is None else r / temperature + g for r, g in zip(log, noise, strict=True)]
+    if k is None:
+        best = max((sum(log[ids.index(i)] >= c for i, q in labels if q) / sum(q for _, q in labels) + sum(log[ids.index(i)] < c for i, q in labels if not q) / sum(1 - q for _, q in labels), c) for c in sorted(log[ids.index(i)] for i, _ in labels))
+        below = max((log[ids.index(i)] for i, _ in labels if log[ids.index(i)] < best[1]), default=-math.inf)
+        k = sum(r is not None and r >= (best[1] + below) / 2 for r in log)
+    return log, keys, sorted((x for x in keys if x is not None), reverse=True)[k - 1]
+
+
+@pytest.mark.parametrize(("share", "temperature"), [(None, 6.0), (0.4, 6.0), (0.25, 200.0)])
+def test_importance_resampling(spark, share, temperature):
     rows, labels = quality_docs()
-    docs = spark.createDataFrame([(*r, "x") for r in [*rows, (1000, None), (1001, " "), (None, "Some plain text and more of the other thing.")]], "doc_id long, text string, log_ratio string")
-    out = importance.sampled(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    rows = [*rows, (1000, None), (1001, " "), (None, "Some plain text and more of the other thing."), (1002, "Long words of one text. " * 20_000)]
+    docs = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], "doc_id long, text string, log_ratio string, selected string, cut string")
+    out = importance.sampled(docs, spark.createDataFrame(labels, "doc_id long, quality int"), share, temperature)
+    assert out.columns == ["doc_id", "text", "cut", "log_ratio", "gumbel_key", "selected"]
     got = {r["doc_id"]: r for r in out.collect()}
-    assert {i for i, r in got.items() if r["selected"]} == {None, *(i for i, _ in rows if i % 5)}
-    assert got[1000]["log_ratio"] is None and not got[1001]["selected"]
-    # by hand: the same counts, ratios and means
-    texts = [t or "" for t in [*[t for _, t in rows], None, " ", "Some plain text and more of the other thing."]]
-
-    def bags(ts):
-        made = []
-        for t in ts:
-            [(_, _, b)] = list(importance.ngrams([t]))
-            made.append(b)
-        return made
-
-    every = bags(texts)
-    raw = np.bincount(np.concatenate(every), minlength=importance.BUCKETS).astype(float)
-    good = np.bincount(np.concatenate([every[i] for i, q in labels if q]), minlength=importance.BUCKETS).astype(float)
-    ratios = importance.log_ratios(good, raw)
-    for i in range(0, 300, 37):
-        assert got[i]["log_ratio"] == pytest.approx(ratios[every[i]].mean())
+    have = sum(bool((t or "").strip()) for _, t in rows)
+    log, keys, least = plain_sample(spark, rows, labels, temperature, None if share is None else math.ceil(share * have))
+    for (i, _), r, key in zip(rows, log, keys, strict=True):
+        assert got[i]["log_ratio"] == (None if r is None else pytest.approx(r, rel=1e-9, abs=1e-9))
+        assert got[i]["selected"] == (key is not None and key >= least - 1e-9)
+    if share == 0.25:  # here the noise, not the ratio alone, decides
+        taken = {i for i, r in got.items() if r["selected"]}
+        assert taken != {i for _, i in sorted(((r, i) for (i, _), r in zip(rows, log, strict=True) if r is not None), key=lambda x: -x[0])[: len(taken)]}
+
+
+def test_gumbel_noise_samples_by_weight(spark):
+    """Over many seeds, the share of first places is in proportion to exp(ratio)."""
+    ratios = [0.0, 1.0, 2.0, -1.0]
+    df = spark.range(4000).selectExpr("cast(id as int) as seed").crossJoin(spark.createDataFrame([(i, r) for i, r in enumerate(ratios)], "doc_id long, r double"))
+    first = df.withColumn("key", F.col("r") + importance.noise(F.col("doc_id"), F.col("seed"))).groupBy("seed").agg(F.max_by("doc_id", "key").alias("i")).groupBy("i").count().collect()
+    want = np.exp(ratios) / np.exp(ratios).sum()
+    for r in first:
+        assert r["count"] / 4000 == pytest.approx(want[r["i"]], abs=0.03)
 
 
 def test_importance_without_labels(spark):
@@ -220,9 +282,11 @@ def test_importance_without_labels(spark):
     assert importance.sampled(docs.limit(0), labels).count() == 0
 
 
-def test_kth_key(spark):
+def test_kth_key(spark, monkeypatch):
     x = [random.Random(1).gauss(0, 3) for _ in range(500)] + [1.5] * 20
     df = spark.createDataFrame([(v,) for v in x], "key double")
+    monkeypatch.setattr(importance, "FEW", 10)
+    monkeypatch.setattr(importance, "BINS", 8)
     for k in (1, 7, 250, 519, 520):
         assert importance.kth_key(df, k) == sorted(x, reverse=True)[k - 1]
     assert importance.kth_key(df, 521) == -math.inf and importance.kth_key(df, 0) == math.inf
