@@ -7,8 +7,9 @@ node together fall short does the rest go to the node's own siblings, as a subtr
 
 A leaf with quota Q and T tokens gets Q // T whole epochs and, of the next epoch, the longest prefix with at
 most Q % T tokens. An epoch's order is that of md5(seed:epoch:doc_id). The prefix is found without sorting a
-leaf: token sums of the ``DIGITS``-digit key ranges give the one range that the prefix ends in; only that range
-is ordered. So a leaf is described by its epochs and the last key taken, and each document is decided on its
+leaf: token sums of the key ranges of ``DIGITS`` digits give the one range that the prefix ends in, whose
+ranges of ``DIGITS`` digits more are summed next, until no leaf has more than ``FEW`` rows in its range; only those are
+ordered. So a leaf is described by its epochs and the last key taken, and each document is decided on its
 own: the text is read once more and never shuffled.
 
 Defined cases: null domain, language or source counts as the name ''; null and empty texts have no tokens and
@@ -25,8 +26,8 @@ from pyspark.sql import Window as W
 
 from .common import forget, stored, text_of
 
-#: Hexadecimal digits that name a key range: 4096 ranges a leaf.
-DIGITS = 3
+#: Hexadecimal digits by which a key range is divided: 256 ranges of a leaf a round; rows of one that are ordered.
+DIGITS, FEW = 2, 512
 #: Leaves that are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LEAVES = 20_000
 
@@ -36,6 +37,8 @@ OTHER = 0.05
 SHARE, MAX_EPOCHS, SEED = 0.6, 2, 17
 
 LEAF = ("domain", "language", "leaf_source")
+#: Columns that stand beside those of the documents for a while.
+OWN = ("_framelake_leaf_epochs", "_framelake_leaf_cut")
 
 
 def words(text: Column) -> Column:
@@ -89,6 +92,30 @@ def key(epoch: Column, doc_id: Column, seed: int) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))))
 
 
+def prefix_ends(rows: DataFrame, plan: DataFrame, near, seed: int) -> DataFrame:
+    """For leaves with a rest, ``cut``: the last key of the longest prefix with at most ``rest`` tokens, or the
+    start of the range after it. Leaves whose rest takes all have none."""
+    keyed = rows.join(near(plan.filter("rest > 0").select(*LEAF, "epochs", "rest")), [*LEAF])
+    keyed = keyed.select(*LEAF, "n_tokens", "rest", key(F.col("epochs") + 1, F.col("doc_id"), seed).alias("key"))
+    own, digits, before = keyed.withColumn("before", F.lit(0).cast("long")), 0, None
+    while True:
+        digits += DIGITS
+        sums = own.groupBy(*LEAF, F.substring("key", 1, digits).alias("bucket")).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("rows"), F.max("rest").alias("rest"), F.max("before").alias("before"))
+        running = sums.withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy(*LEAF).orderBy("bucket")))
+        over = running.filter("upto > rest and upto - n <= rest").groupBy(*LEAF).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"), "rows")).alias("e"))
+        ends = stored(over.select(*LEAF, "e.*"), "ends")
+        most = ends.agg(F.max("rows")).first()[0] or 0
+        own = keyed.join(near(ends.select(*LEAF, "bucket", "before")), [*LEAF]).filter(F.col("key").startswith(F.col("bucket")))
+        if before is not None:
+            forget(before)
+        if most <= FEW or digits >= 32:  # 32 digits are whole keys: rows of one key go together
+            break
+        before = ends
+    total = own.groupBy(*LEAF, "bucket", "before", "rest", "key").agg(F.sum("n_tokens").alias("n"))
+    taken = total.withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy(*LEAF).orderBy("key"))).filter("upto <= rest").groupBy(*LEAF).agg(F.max("key").alias("k"))
+    return ends.join(taken, [*LEAF], "left").select(*LEAF, F.coalesce("k", "bucket").alias("cut"))
+
+
 def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: int = SEED, domain: Column | None = None, domains: dict = DOMAIN_WEIGHTS, languages: dict = LANGUAGE_WEIGHTS, other: float = OTHER) -> DataFrame:
     """The documents taken, with domain, language, leaf_source, n_tokens and ``copies``, the times each is
     taken. ``share`` of all tokens is the budget."""
@@ -100,18 +127,12 @@ def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, see
     plan = stored(plan.select(*LEAF, F.expr("quota div tokens").alias("epochs"), (F.col("quota") % F.col("tokens")).alias("rest")), "quotas")
     small = plan.count() <= BROADCAST_LEAVES
     near = F.broadcast if small else (lambda df: df)
-    keyed = rows.join(near(plan.filter("rest > 0")), [*LEAF]).withColumn("key", key(F.col("epochs") + 1, F.col("doc_id"), seed)).withColumn("bucket", F.substring("key", 1, DIGITS))
-    sums = keyed.groupBy(*LEAF, "bucket").agg(F.sum("n_tokens").alias("n"), F.max("rest").alias("rest"))
-    running = sums.withColumn("upto", F.sum("n").over(W.partitionBy(*LEAF).orderBy("bucket")))
-    ends = running.filter("upto > rest and upto - n <= rest").groupBy(*LEAF).agg(F.min(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))).alias("e")).select(*LEAF, "e.*")
-    last = keyed.join(near(ends), [*LEAF, "bucket"])
-    taken = last.withColumn("upto", F.col("before") + F.sum("n_tokens").over(W.partitionBy(*LEAF).orderBy("key"))).filter("upto <= rest").groupBy(*LEAF).agg(F.max("key").alias("k"))
-    cuts = ends.join(taken, [*LEAF], "left").select(*LEAF, F.coalesce("k", "bucket").alias("cut"))
-    plan2 = stored(plan.join(cuts, [*LEAF], "left").select(*LEAF, "epochs", "cut"), "cuts")
+    ends = prefix_ends(rows, plan, near, seed)
+    plan2 = stored(plan.join(ends, [*LEAF], "left").select(*LEAF, F.col("epochs").alias(OWN[0]), F.col("cut").alias(OWN[1])), "cuts")
     forget(rows, plan)
     out = docs.withColumns(named).join(near(plan2), [*LEAF])
-    more = F.coalesce(key(F.col("epochs") + 1, F.col("doc_id"), seed) <= F.col("cut"), F.lit(False))
-    out = out.withColumn("copies", (F.col("epochs") + more.cast("long")).cast("long")).filter("copies > 0").drop("epochs", "cut")
+    more = F.coalesce(key(F.col(OWN[0]) + 1, F.col("doc_id"), seed) <= F.col(OWN[1]), F.lit(False))
+    out = out.withColumn("copies", (F.col(OWN[0]) + more.cast("long")).cast("long")).filter("copies > 0").drop(*OWN)
     return out.withColumn("n_tokens", words(text_of()))
 
 

@@ -115,7 +115,9 @@ def sample_docs(n=400, seed=2):
     return [(i if i % 50 else None, None if i % 97 == 0 else " ".join(["w"] * rng.randrange(0, 30)), rng.choice(["en", "de", None, "xx"]), rng.choice(["a", "a", "a", "b", "c", None, "d", "e", "f"]), 0) for i in range(n)]
 
 
-def test_mixing_equals_sql(spark):
+@pytest.mark.parametrize("few", [512, 1])
+def test_mixing_equals_sql(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW", few)  # with 1, key ranges are divided until each holds a row
     rows = sample_docs()
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar, n_chars bigint)")
@@ -128,8 +130,11 @@ def test_mixing_equals_sql(spark):
 
 def test_mixing_of_odd_tables(spark):
     assert mixing.mix(mixed(spark, [])).count() == 0
-    extra = mixed(spark, sample_docs(60)).withColumn("domain", F.lit("x")).withColumn("copies", F.lit(9))
+    extra = mixed(spark, sample_docs(60)).withColumn("domain", F.lit("x")).withColumn("copies", F.lit(9)).withColumn("Epochs", F.lit(5)).withColumn("cut", F.lit("")).withColumn("rest", F.lit(0)).withColumn("bucket", F.lit(1))
     out = mixing.mix(extra, share=0.5)
+    assert out.filter("epochs = 5 and cut = '' and rest = 0 and bucket = 1").count() == out.count() > 0
+    plain = mixing.mix(mixed(spark, sample_docs(60)).withColumn("domain", F.lit("x")), share=0.5)
+    assert sorted(out.select("doc_id", "copies").fillna(-1).collect()) == sorted(plain.select("doc_id", "copies").fillna(-1).collect())
     assert {"domain", "copies", "text"} <= set(out.columns) and out.filter("copies = 9").count() == 0
 
 
@@ -191,7 +196,7 @@ def quality_docs(n=300, seed=8):
 MASK = (1 << 64) - 1
 
 
-def mixed(x):
+def mix64(x):
     x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & MASK
     x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & MASK
     return x ^ (x >> 31)
@@ -207,19 +212,19 @@ def plain_buckets(text):
             total = 0
             for i, c in enumerate(w.lower()):
                 total += (c + 1) * pow(base, i, 1 << 64)
-            h = mixed((h * two + total) & MASK)
+            h = mix64((h * two + total) & MASK)
         words.append(h)
         upper, lower = len(re.findall(rb"[A-Z]", w)), len(re.findall(rb"[a-z\x80-\xff]", w))
         digit = len(re.findall(rb"[0-9]", w))
         s = 0
         for n, most in ((upper, 3), (lower, 1), (digit, 1), (len(w) - upper - lower - digit, 4)):
             s = s * 8 + min(n, most)
-        shapes.append(mixed((s * 256 + (0 if re.match(rb"[A-Za-z0-9\x80-\xff]", w[-1:]) else w[-1])) & MASK))
-    grams = [*words, *(mixed((s + 1) & MASK) for s in shapes)]
+        shapes.append(mix64((s * 256 + (0 if re.match(rb"[A-Za-z0-9\x80-\xff]", w[-1:]) else w[-1])) & MASK))
+    grams = [*words, *(mix64((s + 1) & MASK) for s in shapes)]
     for k in range(1, len(words)):
-        grams.append(mixed((words[k - 1] * two + words[k]) & MASK))
-        grams.append(mixed(((shapes[k - 1] * two + shapes[k]) * 2 + (words[k - 1] == words[k])) & MASK))
-    return [mixed(g) >> (64 - importance.BUCKETS.bit_length() + 1) for g in grams]
+        grams.append(mix64((words[k - 1] * two + words[k]) & MASK))
+        grams.append(mix64(((shapes[k - 1] * two + shapes[k]) * 2 + (words[k - 1] == words[k])) & MASK))
+    return [mix64(g) >> (64 - importance.BUCKETS.bit_length() + 1) for g in grams]
 
 
 def plain_sample(spark, rows, labels, temperature, k=None):
