@@ -6,12 +6,12 @@ import numpy as np
 
 #: Odd multipliers of the two polynomial hashes of a word.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_HELD: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``base`` and of its inverse, modulo 2^64."""
-    have = _POWERS.get(base)
+    have = _HELD.get(base)
     if have is None or len(have[0]) < n:
         n = max(n, 1 << 16)
         both = []
@@ -21,7 +21,7 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             both.append(np.cumprod(steps))
         have = both[0], both[1]
         if n <= 1 << 21:
-            _POWERS[base] = have
+            _HELD[base] = have
     return have
 
 
@@ -55,7 +55,7 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = np.zeros(len(begin), np.uint64)
     values = LOWER[data].astype(np.uint64) + np.uint64(1)
     for base in BASES:
-        up, down = _powers(base, len(data) + 1)
+        up, down = powers(base, len(data) + 1)
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(data)])])
         words = mix(words * np.uint64(BASES[1]) + (total[end] - total[begin]) * down[begin])
     return begin, words

@@ -6,20 +6,26 @@ an ``article`` or ``main`` element are marked as the article. A token of a class
 Unless hidden, elements that hold a page's main element, its only articles or (by class, id, role, form) most of
 the text of a page without articles stay.
 
-Pages are read in groups of ``PAGES`` as they lie. A group's pages are concatenated as one stream of ranks of
-words (salted by host), with a separator of its own after each page. Prefix doubling sorts all suffixes by their
-first ``DEPTH`` words; neighbours with ``RUN`` or more common words form classes, each with its distinct pages.
-Classes of all groups are added up by the key of host and run, so evidence is that of the whole host: a run on
-``LEAST_PAGES`` distinct pages is boilerplate, in an article and outside it; unique runs are kept. An
-article of which ``COPY_SHARE`` is covered, or a page without one that is covered throughout, is a copy: it is
-kept, without the runs that stand on more than twice as many pages as its own words do.
+Blocks of left-out elements are read as well, as hinted ones. Pages are read in groups of ``PAGES`` as they lie.
+A group's pages are concatenated as one stream of ranks of words (salted by host), with a separator of its own
+after each page. Prefix doubling sorts all suffixes by their first ``DEPTH`` words; neighbours with ``RUN`` or
+more common words form classes, each with its distinct pages. Classes of all groups are added up by the key of
+host and run, and so are whole blocks and the host's pages: evidence is that of the whole host, however its pages lie.
+
+A run or block is repeated if it stands on ``LEAST_PAGES`` distinct pages and ``LEAST_SHARE`` of the host's.
+Repeated runs and blocks are boilerplate, outside an article; what is left of a block, the unique runs, is kept.
+A page without an article that is covered throughout is a copy: it is kept, without the runs that stand on more than twice
+as many pages as its own words do. In an article, which quotes and copies may share, only whole blocks go that
+stand on ``ARTICLE_PAGES`` distinct pages and more than half of the host's, unless they are ``COPY_SHARE`` of it.
+Hinted blocks go in any case: where they aren't repeated, the markup is the evidence.
 
 Keys are dealt to buckets by hash, so neither a host with a third of all pages nor a run on all of them is one
-task. A host of fewer than ``LEAST_PAGES`` pages has no evidence, and its pages keep all blocks.
+task. A host of fewer than ``LEAST_PAGES`` pages has no evidence, and its pages keep all blocks that aren't hinted.
 
-Defined cases: null html is empty, with the empty text; a null url or one without a host is the host ''; rows
-that repeat a page count as one page for repetition, and are each kept; unclosed elements end with their
-parents; an empty table gives no rows; other columns are ignored.
+Defined cases: null html is empty, with the empty text; pages of any length are read whole; a null url or one
+without a host is the host ''; rows that repeat a page count as one page for repetition, and are each kept;
+unclosed elements end with their parents; an empty table gives no rows; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,17 +41,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import forget, partitions, stored, text_of
-from .hashing import BASES, mix, word_hashes
+from .hashing import BASES, powers, mix, word_hashes
 
 #: Pages of a group; words that a repeated run has at least; words that suffixes are sorted by.
-PAGES, RUN, DEPTH = 128, 6, 16
-#: A run is boilerplate on so many distinct pages of a host.
-LEAST_PAGES = 3
-#: Share of an article's words in repeated runs from which it is a copy.
-COPY_SHARE = 0.8
-#: Bits of a run's key in its bucket, and characters of pages for a bucket (about 3 million runs, so that a run
-#: meets another's key with probability 1e-8).
-KEY_BITS, BUCKET_CHARS = 48, 16 << 20
+PAGES, RUN, DEPTH = 128, 12, 16
+#: A run is repeated on so many distinct pages of a host, and at least this share of them.
+LEAST_PAGES, LEAST_SHARE = 3, 0.01
+#: Pages from which a block of an article may be boilerplate; share of an article's words from which it is a copy.
+ARTICLE_PAGES, COPY_SHARE = 10, 0.8
+#: Characters of pages for a bucket of keys, and bits that name buckets at most.
+BUCKET_CHARS, BUCKET_BITS = 16 << 20, 23
 #: Repeated runs that are broadcast; more are joined by a shuffle, dealt by so many salts.
 BROADCAST_RUNS, SALTS = 4_000_000, 16
 
@@ -54,6 +59,8 @@ RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template",
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img ruby rt rp nobr".split())
 LEFT_OUT = {"nav", "header", "footer", "aside", "form", "button", "select", "dialog", "menu", "object", "canvas", "audio", "video", "head", "fieldset"}
+#: Of these, elements whose content isn't shown as text.
+UNREAD = {"select", "object", "canvas", "audio", "video", "head"}
 ARTICLE = {"article", "main"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 NAMED = set(
@@ -119,6 +126,7 @@ def left_out(tag: str, attributes: str, inside: bool) -> str:
 class Block:
     text: str
     article: bool
+    hinted: bool
 
 
 @dataclass
@@ -132,13 +140,13 @@ class Span:
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of visible text that no left-out element holds, in page order.
+    """Blocks of visible text in page order; those that a left-out element holds are hinted.
 
     An element left out by tag or name stays if it holds a main element or, where no article is left, articles.
     One left out by name stays if no article is left anywhere and it holds over half of the page's text.
     """
     out, spans, mains, articles, seen = read(page, set())
-    bare = not any(b.article for b in out)
+    bare = not any(b.article and not b.hinted for b in out)
     marks = np.array(sorted(mains + articles if bare else mains), np.int64)
     keep = set()
     for span in spans:
@@ -152,43 +160,44 @@ def read(page: str, keep: set[int]) -> tuple[list[Block], list[Span], list[int],
     characters of text."""
     out: list[Block] = []
     held: list[str] = []
-    stack: list[tuple[str, bool, bool, bool, Span | None]] = []  # name, left out, in an article, unseen, span
+    aside: list[str] = []  # of inline elements and others that are left out
+    stack: list[tuple[str, bool, bool, bool, bool, Span | None]] = []  # name, left out, in an article, unseen, hidden, span
     spans: list[Span] = []
     mains: list[int] = []
     articles: list[int] = []
-    out_now = article_now = unseen_now = False
+    out_now = article_now = unseen_now = hidden_now = False
     seen = 0
 
     def end_block() -> None:
-        if held:
-            text = "".join(held)
-            held.clear()
-            if text := " ".join(text.split()):
-                out.append(Block(text, article_now))
-
-    def close(i: int) -> tuple[bool, bool, bool]:
+        for parts, hinted in ((held, False), (aside, True)):
+            if parts:
+                text = "".join(parts)
+                parts.clear()
+                if text := " ".join(text.split()):
+                    out.append(Block(text, article_now and not hinted, hinted))
+
+    def close(i: int) -> tuple[bool, bool, bool, bool]:
         for *_, span in stack[i:]:
             if span:
                 span.end, span.chars = at, seen - span.chars
         del stack[i:]
-        return stack[-1][1:4] if stack else (False, False, False)
+        return stack[-1][1:5] if stack else (False, False, False, False)
 
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
         stop = m.start() if m else n
-        if stop > at and not unseen_now:
+        if stop > at and not hidden_now:
             text = page[at:stop]
-            seen += len(text.strip())
-            if not out_now:
-                held.append(html.unescape(text) if "&" in text else text)
+            seen += 0 if unseen_now else len(text.strip())
+            (aside if out_now else held).append(html.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
         name = m[2] or m[5]
         if not name:
-            if m[0].startswith("<![CDATA[") and not out_now:
-                held.append(m[0][9:].removesuffix("]]>"))
+            if m[0].startswith("<![CDATA[") and not hidden_now:
+                (aside if out_now else held).append(m[0][9:].removesuffix("]]>"))
             continue
         name, closing, attributes = name.lower(), bool(m[1] or m[4]), (m[3] if m[2] else m[6]) or ""
         if not closing:
@@ -199,7 +208,7 @@ def read(page: str, keep: set[int]) -> tuple[list[Block], list[Span], list[int],
                 continue
             if name in VOID:
                 if name in ("br", "wbr"):
-                    held.append(" " if name == "br" and not out_now else "")
+                    (aside if out_now else held).append(" " if name == "br" else "")
                 elif name == "hr":
                     end_block()
                 continue
@@ -208,7 +217,7 @@ def read(page: str, keep: set[int]) -> tuple[list[Block], list[Span], list[int],
                 if name == "p":  # a paragraph ends where the next begins
                     for i in range(len(stack) - 1, -1, -1):
                         if stack[i][0] == "p":
-                            out_now, article_now, unseen_now = close(i)
+                            out_now, article_now, unseen_now, hidden_now = close(i)
                             break
                         if stack[i][0] not in INLINE:
                             break
@@ -222,14 +231,14 @@ def read(page: str, keep: set[int]) -> tuple[list[Block], list[Span], list[int],
             elif name in ARTICLE and not why and not unseen_now:
                 (mains if name == "main" else articles).append(m.start())
             gone = out_now or bool(why)
-            stack.append((name, gone, article_now or name in ARTICLE and not gone, unseen_now or why in ("tag", "hidden"), span))
-            out_now, article_now, unseen_now = stack[-1][1:4]
+            stack.append((name, gone, article_now or name in ARTICLE and not gone, unseen_now or why in ("tag", "hidden"), hidden_now or why == "hidden" or name in UNREAD, span))
+            out_now, article_now, unseen_now, hidden_now = stack[-1][1:5]
         else:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     if name not in INLINE:
                         end_block()
-                    out_now, article_now, unseen_now = close(i)
+                    out_now, article_now, unseen_now, hidden_now = close(i)
                     break
                 if name in INLINE and stack[i][0] not in INLINE:
                     break
@@ -309,19 +318,6 @@ def covered(words: np.ndarray, pages: np.ndarray, least: int, run: int = RUN) ->
     return spread(counts[classes], run) >= least
 
 
-def boilerplate(counts: np.ndarray, article: np.ndarray, least: int) -> np.ndarray:
-    """Flags of a page's words in repeated runs, from ``counts`` of pages and whether each word is in its article.
-
-    An article that repeats as a whole (of a page that marks none, all of it) is a copy. From it go only runs
-    on more than twice as many pages as its own words.
-    """
-    flags = counts >= least
-    own, share = (article, COPY_SHARE) if article.any() else (np.ones(len(counts), bool), 1.0)
-    if flags[own].any() and flags[own].mean() >= share:
-        flags[own] = counts[own] > 2 * np.median(counts[own & flags])
-    return flags
-
-
 def whole_runs(flags: np.ndarray, run: int = RUN) -> np.ndarray:
     """Covered words of a block, without the ends of runs that mostly lie in a block next to it."""
     if flags.all() or not flags.any():
@@ -334,78 +330,136 @@ def whole_runs(flags: np.ndarray, run: int = RUN) -> np.ndarray:
     return out
 
 
-def parsed(htmls: list[str]) -> tuple[list[list[Block]], np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of each page; word counts of all blocks; hash and page number of each of their words."""
+@dataclass
+class Parsed:
+    """Pages as blocks, and the words of all blocks: hash, page and block of each; words of each block."""
+
+    pages: list[list[Block]]
+    words: np.ndarray
+    page: np.ndarray
+    block: np.ndarray
+    counts: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.counts)])
+
+
+def parsed(htmls: list[str]) -> Parsed:
     every = [blocks(h) for h in htmls]
     data = [b.text.encode("utf-8", "surrogatepass") for page in every for b in page]
-    if not data:
-        return every, np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    begin, words = word_hashes(np.frombuffer(b"\n".join([*data, b""]), np.uint8))
+    begin, words = word_hashes(np.frombuffer(b"\n".join([*data, b""]) or b"\n", np.uint8))
     counts = np.diff(np.searchsorted(begin, np.cumsum([0, *(len(d) + 1 for d in data)])))
-    return every, counts, words, np.repeat(np.repeat(np.arange(len(every)), [len(page) for page in every]), counts)
-
-
-def texts(every: list[list[Block]], counts: np.ndarray, met: np.ndarray) -> list[tuple[str, int, int]]:
-    """Text, blocks and words removed as boilerplate of each page, from the pages ``met`` of each word's runs."""
-    first = np.concatenate([[0], np.cumsum(counts)])
-    out, k = [], 0
-    for page in every:
-        begin, end = first[k], first[k + len(page)]
-        article = np.repeat(np.array([b.article for b in page], bool), counts[k : k + len(page)])
-        gone = boilerplate(met[begin:end], article, LEAST_PAGES)
-        kept, removed = [], 0
-        for b in page:
-            flags = whole_runs(gone[first[k] - begin : first[k + 1] - begin])
-            k += 1
-            if not flags.any():
-                kept.append(b.text)
-            else:
-                removed += int(flags.sum())
-                rest = [w for w, f in zip(re.findall(r"[^\x20\x09-\x0D]+", b.text), flags.tolist(), strict=True) if not f]
-                if rest:
-                    kept.append(" ".join(rest))
-        out.append(("\n".join(kept), len(kept), removed))
+    block = np.repeat(np.arange(len(data)), counts)
+    page = np.repeat(np.arange(len(every)), [len(p) for p in every])[block] if len(data) else np.zeros(0, np.int64)
+    return Parsed(every, words, page, block, counts)
+
+
+def texts(made: Parsed, run_pages: np.ndarray, block_pages: np.ndarray, host_pages: np.ndarray) -> list[tuple[str, int, int]]:
+    """Text, blocks and words removed as repeated of each page: from the pages of the runs that hold each word,
+    of each block and of each page's host."""
+    first, out, k = made.first, [], 0
+    for page, n in zip(made.pages, host_pages.tolist(), strict=True):
+        own = range(k, k := k + len(page))
+        met = [np.maximum(run_pages[first[i] : first[i + 1]], block_pages[i]) for i in own]
+        least = max(LEAST_PAGES, LEAST_SHARE * n)
+        gone = [whole_runs(m >= least) for m in met]
+        kept = [i for i, b in enumerate(page) if not b.hinted]
+        article = [i for i in kept if page[i].article]
+        for i in article:
+            gone[i] = np.full(len(met[i]), len(met[i]) > 0 and met[i].min() >= ARTICLE_PAGES and 2 * met[i].min() > n)
+        if article and sum(int(gone[i].sum()) for i in article) >= COPY_SHARE * sum(len(gone[i]) for i in article):
+            for i in article:
+                gone[i][:] = False
+        elif kept and not article and all(gone[i].all() for i in kept):
+            usual = np.median(np.concatenate([met[i] for i in kept]))
+            for i in kept:
+                gone[i] = met[i] > 2 * usual
+        lines = []
+        for i in kept:
+            if not gone[i].any():
+                lines.append(page[i].text)
+            elif rest := [w for w, f in zip(re.findall(r"[^\x20\x09-\x0D]+", page[i].text), gone[i].tolist(), strict=True) if not f]:
+                lines.append(" ".join(rest))
+        out.append(("\n".join(lines), len(lines), sum(int(g.sum()) for g in gone)))
     return out
 
 
 def extract_group(ids: list, htmls: list[str]) -> list[tuple[str, int, int]]:
-    """Text, blocks and words removed as boilerplate for each page of a host, from all its pages."""
-    numbers = {p: k for k, p in enumerate(dict.fromkeys(ids))}
-    by_page = sorted(range(len(ids)), key=lambda i: numbers[ids[i]])
-    every, counts, words, rows = parsed([htmls[i] for i in by_page])
-    classes, met = run_counts(words, np.array([numbers[ids[i]] for i in by_page], np.int64)[rows])
-    out: list = [None] * len(ids)
-    for i, made in zip(by_page, texts(every, counts, spread(met[classes])), strict=True):
-        out[i] = made
-    return out
+    """Text, blocks and words removed as repeated for each page of a host, from all its pages."""
+    hosts = np.zeros(len(ids), np.uint64)
+    keys, counts = group_keys(ids, hosts, htmls, 0)
+    order = np.argsort(keys)
+    return looked_up(htmls, hosts, keys[order], counts[order], 0)
 
 
-def run_keys(words: np.ndarray, rows: np.ndarray, hosts: np.ndarray, bits: int, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words salted by host; key of the run that begins at each word, with its bucket above ``KEY_BITS``; whether
-    the run ends within its page."""
-    n = len(words)
-    salted = mix(words + hosts[rows]) if n else words
+def low_bits(bits: int) -> int:
+    """Bits of a key in its bucket, in whole bytes."""
+    return min(48, (63 - bits) // 8 * 8)
+
+
+def placed(key: np.ndarray, bits: int) -> np.ndarray:
+    """The hash with its bucket (its top ``bits``) above its low bits."""
+    low = low_bits(bits)
+    top = key >> np.uint64(64 - bits) << np.uint64(low) if bits else np.uint64(0)
+    return top | key & np.uint64((1 << low) - 1)
+
+
+#: Added to a host's salt for the keys of its blocks and its pages.
+BLOCK_MARK, HOST_MARK = np.uint64(BASES[0]), np.uint64(BASES[1])
+
+
+def keys_of(made: Parsed, hosts: np.ndarray, bits: int, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words salted by host; key of the run that begins at each word; whether it ends within its page; key of
+    each block; key of each page's host."""
+    n = len(made.words)
+    salted = mix(made.words + hosts[made.page]) if n else made.words
     keys, whole = np.zeros(n, np.uint64), np.zeros(n, bool)
     if n >= run:
         m = n - run + 1
         key = np.zeros(m, np.uint64)
         for k in range(run):
             key = mix(key * np.uint64(BASES[1]) + salted[k : k + m])
-        keys[:m] = key >> np.uint64(64 - bits) << np.uint64(KEY_BITS) | key & np.uint64((1 << KEY_BITS) - 1)
-        whole[:m] = rows[:m] == rows[run - 1 :]
-    return salted, keys, whole
+        keys[:m] = placed(key, bits)
+        whole[:m] = made.page[:m] == made.page[run - 1 :]
+    up, down = powers(BASES[0], n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(salted * up[:n])])
+    first = made.first
+    block = mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]] + BLOCK_MARK * (made.counts.astype(np.uint64) + np.uint64(1)))
+    return salted, keys, whole, placed(block, bits), placed(mix(hosts + HOST_MARK), bits)
 
 
-def group_runs(ids: list, hosts: np.ndarray, htmls: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the runs of a group of pages, and the distinct pages of the group with each."""
+def group_keys(ids: list, hosts: np.ndarray, htmls: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs, blocks and hosts of a group of pages, and the distinct pages of the group with each."""
     numbers: dict = {}
     number = np.array([numbers.setdefault(k, len(numbers)) for k in zip(ids, hosts.tolist(), strict=True)], np.int64)
     order = np.argsort(number, kind="stable")
-    _, _, words, rows = parsed([htmls[i] for i in order])
-    salted, keys, whole = run_keys(words, rows, hosts[order], bits)
-    classes, met = run_counts(salted, number[order][rows])
+    made, number = parsed([htmls[i] for i in order]), number[order]
+    salted, keys, whole, block, host = keys_of(made, hosts[order], bits)
+    classes, met = run_counts(salted, number[made.page])
     held, at = np.unique(classes[whole], return_index=True)
-    return keys[whole][at], met[held]
+    found, counts = [keys[whole][at]], [met[held]]
+    full = made.counts > 0
+    owner = np.repeat(np.arange(len(made.pages)), [len(p) for p in made.pages])[full] if len(full) else np.zeros(0, np.int64)
+    for key, page in ((block[full], number[owner]), (host, number)):
+        each, n = np.unique(np.unique(np.stack([key, page.astype(np.uint64)]), axis=1)[0], return_counts=True)
+        found.append(each)
+        counts.append(n)
+    return np.concatenate(found), np.concatenate(counts)
+
+
+def looked_up(htmls: list[str], hosts: np.ndarray, known: np.ndarray, n: np.ndarray, bits: int) -> list[tuple[str, int, int]]:
+    """What ``texts`` gives, from the ascending keys that are known and the distinct pages of each."""
+    made = parsed(htmls)
+    _, keys, whole, block, host = keys_of(made, hosts, bits)
+
+    def pages(key: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(key), np.int64)
+        at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        return np.where(known[at] == key, n[at], 0)
+
+    return texts(made, spread(np.where(whole, pages(keys), 0)), np.where(made.counts > 0, pages(block), 0), pages(host))
 
 
 TEXT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_blocks", T.LongType()), T.StructField("n_boilerplate", T.LongType())])
@@ -423,40 +477,66 @@ def _uint64(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def _dealt(keys: np.ndarray, counts: np.ndarray):
+def _dealt(keys: np.ndarray, counts: np.ndarray, bits: int):
     """A row for each bucket: sorted low bytes of its keys, as planes (which compress), and counts."""
     import pyarrow as pa
 
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order].astype(np.uint32)
-    bucket = (keys >> np.uint64(KEY_BITS)).astype(np.int32)
+    bucket = (keys >> np.uint64(low_bits(bits))).astype(np.int32)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
-    low = keys.view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8]
+    low = keys.view(np.uint8).reshape(-1, 8)[:, : low_bits(bits) // 8]
     spans = [*zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
     return pa.table({"bucket": pa.array(bucket[edges[:-1]], pa.int32()), "keys": pa.array([np.ascontiguousarray(low[a:b].T).tobytes() for a, b in spans], pa.binary()), "counts": pa.array([counts[a:b].tobytes() for a, b in spans], pa.binary())})
 
 
+def by_parts(fn):
+    """An Arrow function that gives ``fn`` the rows in parts of ``PAGES``."""
+
+    def task(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                yield from fn(batch.slice(at, PAGES))
+
+    return task
+
+
+def page_keys(part, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each key of each row, and the row's number."""
+    made = parsed(part["html"].to_pylist())
+    _, keys, whole, block, host = keys_of(made, _uint64(part["salt"]), bits)
+    owner = np.repeat(np.arange(len(made.pages)), [len(p) for p in made.pages])
+    return np.concatenate([keys[whole], block, host]), np.concatenate([made.page[whole], owner, np.arange(part.num_rows)]).astype(np.int64)
+
+
 def repeated_runs(rows: DataFrame, bits: int) -> DataFrame:
-    """Keys of runs on ``LEAST_PAGES`` or more distinct pages of a host, and those pages' number."""
-    pages = rows.select("salt", "page_id", "html")
+    """Keys of runs, blocks and hosts with ``LEAST_PAGES`` or more distinct pages, and those pages' number."""
+    pages, size = rows.select("salt", "page_id", "html"), low_bits(bits) // 8
     twice = stored(pages.groupBy("salt", "page_id").count().filter("count > 1").select("salt", "page_id", F.lit(True).alias("twice")), "repeated")
 
     def task(batches: Iterator) -> Iterator:
         for batch in batches:
             ids, salts, htmls = batch["page_id"].to_pylist(), _uint64(batch["salt"]), batch["html"].to_pylist()
-            found = [group_runs(ids[at : at + PAGES], salts[at : at + PAGES], htmls[at : at + PAGES], bits) for at in range(0, len(ids), PAGES)]
+            found = [group_keys(ids[at : at + PAGES], salts[at : at + PAGES], htmls[at : at + PAGES], bits) for at in range(0, len(ids), PAGES)]
             if found:
-                yield from _dealt(*map(np.concatenate, zip(*found, strict=True))).to_batches()
+                yield from _dealt(*map(np.concatenate, zip(*found, strict=True)), bits).to_batches()
 
-    def one_page(table):
-        return _dealt(*group_runs(table["page_id"].to_pylist(), _uint64(table["salt"]), table["html"].to_pylist(), bits))
+    def each(part) -> Iterator:
+        import pyarrow as pa
+
+        key, row = page_keys(part, bits)
+        yield pa.RecordBatch.from_pydict({"salt": part["salt"].take(pa.array(row)), "page_id": part["page_id"].take(pa.array(row)), "key": pa.array(key.view(np.int64), pa.int64())})
+
+    def pack(batches: Iterator) -> Iterator:
+        for batch in batches:
+            yield from _dealt(batch["key"].to_numpy().view(np.uint64), batch["n"].to_numpy(), bits).to_batches()
 
     def add(table):
         import pyarrow as pa
 
-        keys = [np.frombuffer(k, np.uint8).reshape(KEY_BITS // 8, -1).T for k in table["keys"].to_pylist()]
+        keys = [np.frombuffer(k, np.uint8).reshape(size, -1).T for k in table["keys"].to_pylist()]
         wide = np.zeros((sum(map(len, keys)), 8), np.uint8)
-        wide[:, : KEY_BITS // 8] = np.concatenate(keys)
+        wide[:, :size] = np.concatenate(keys)
         low = wide.view(np.uint64)[:, 0]
         counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32).astype(np.int64)
         order = np.argsort(low)
@@ -464,12 +544,13 @@ def repeated_runs(rows: DataFrame, bits: int) -> DataFrame:
         at = np.concatenate([[0], np.flatnonzero(np.diff(low)) + 1])
         total = np.add.reduceat(counts, at)
         often = total >= LEAST_PAGES
-        key = low[at][often] | np.uint64(table["bucket"][0].as_py() << KEY_BITS)
+        key = low[at][often] | np.uint64(table["bucket"][0].as_py() << (8 * size))
         return pa.table({"key": pa.array(key.view(np.int64), pa.int64()), "n": pa.array(total[often], pa.int64())})
 
-    if twice.limit(1).count():  # rows of a page meet, so that it counts once
+    if twice.limit(1).count():  # rows of a page count once for each key
         same = [pages["salt"].eqNullSafe(twice["salt"]), pages["page_id"].eqNullSafe(twice["page_id"])]
-        more = pages.join(twice, same, "left_semi").distinct().groupBy("salt", "page_id").applyInArrow(one_page, BUCKET)
+        more = pages.join(twice, same, "left_semi").mapInArrow(by_parts(each), "salt long, page_id long, key long").distinct()
+        more = more.groupBy("key").agg(F.count(F.lit(1)).alias("n")).mapInArrow(pack, BUCKET)
         dealt = pages.join(twice, same, "left_anti").mapInArrow(task, BUCKET).unionByName(more)
     else:
         dealt = pages.mapInArrow(task, BUCKET)
@@ -479,67 +560,51 @@ def repeated_runs(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_blocks and n_boilerplate (words removed) for every row."""
+    """page_id, url, text, n_chars, n_blocks and n_boilerplate (words removed as repeated) for every row."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_of("html").alias("html"), F.xxhash64(host_of(F.col("url"))).alias("salt"))
     chars = rows.agg(F.sum(F.length("html"))).first()[0] or 0
-    bits = min(15, max(4 * partitions(spark), -(-chars // BUCKET_CHARS)).bit_length())
+    bits = min(BUCKET_BITS, max(4 * partitions(spark), -(-chars // BUCKET_CHARS)).bit_length())
     runs = repeated_runs(rows, bits)
 
-    def made(batch, met: list[tuple[str, int, int]]):
+    def made(part, met: list[tuple[str, int, int]]):
         import pyarrow as pa
 
-        return pa.RecordBatch.from_pydict({"page_id": batch["page_id"], "url": batch["url"], "text": pa.array([t for t, _, _ in met], pa.string()), "n_chars": pa.array([len(t) for t, _, _ in met], pa.int64()), "n_blocks": pa.array([b for _, b, _ in met], pa.int64()), "n_boilerplate": pa.array([r for _, _, r in met], pa.int64())})
-
-    def looked_up(htmls: list[str], salts: np.ndarray, known: np.ndarray, n: np.ndarray) -> list[tuple[str, int, int]]:
-        every, counts, words, owner = parsed(htmls)
-        _, keys, whole = run_keys(words, owner, salts, bits)
-        at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-        met = np.where(whole & (known[at] == keys), n[at], 0) if len(known) else np.zeros(len(keys), np.int64)
-        return texts(every, counts, spread(met))
+        return pa.RecordBatch.from_pydict({"page_id": part["page_id"], "url": part["url"], "text": pa.array([t for t, _, _ in met], pa.string()), "n_chars": pa.array([len(t) for t, _, _ in met], pa.int64()), "n_blocks": pa.array([b for _, b, _ in met], pa.int64()), "n_boilerplate": pa.array([r for _, _, r in met], pa.int64())})
 
     if runs.count() <= BROADCAST_RUNS:
         table = runs.toArrow()
         order = np.argsort(table["key"].to_numpy())
         held = spark.sparkContext.broadcast((table["key"].to_numpy()[order].view(np.uint64), table["n"].to_numpy()[order]))
 
-        def task(batches: Iterator) -> Iterator:
-            for batch in batches:
-                for at in range(0, batch.num_rows, PAGES):
-                    part = batch.slice(at, PAGES)
-                    yield made(part, looked_up(part["html"].to_pylist(), _uint64(part["salt"]), *held.value))
+        def with_all(part) -> Iterator:
+            yield made(part, looked_up(part["html"].to_pylist(), _uint64(part["salt"]), *held.value, bits))
 
-        return rows.mapInArrow(task, TEXT)
+        return rows.mapInArrow(by_parts(with_all), TEXT)
 
     # Too many to broadcast: each row gets those it holds. Hot runs are dealt by a part of the row's key.
     keyed = rows.withColumn("row", F.xxhash64("salt", "page_id", "html"))
 
-    def own(batches: Iterator) -> Iterator:
+    def own(part) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, PAGES):
-                part = batch.slice(at, PAGES)
-                _, _, words, owner = parsed(part["html"].to_pylist())
-                _, keys, whole = run_keys(words, owner, _uint64(part["salt"]), bits)
-                yield pa.RecordBatch.from_pydict({"row": pa.array(part["row"].to_numpy()[owner[whole]], pa.int64()), "key": pa.array(keys[whole].view(np.int64), pa.int64())})
+        key, row = page_keys(part, bits)
+        yield pa.RecordBatch.from_pydict({"row": part["row"].take(pa.array(row)), "key": pa.array(key.view(np.int64), pa.int64())})
 
     deal = F.pmod("row", F.lit(SALTS)).cast("int")
-    each = keyed.mapInArrow(own, "row long, key long").distinct().withColumn("salt", deal)
+    each = keyed.mapInArrow(by_parts(own), "row long, key long").distinct().withColumn("salt", deal)
     shared = runs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    lists = each.join(shared, ["key", "salt"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("runs"))
+    lists = each.join(shared, ["key", "salt"]).groupBy("row").agg(F.collect_list(F.struct("key", "n")).alias("runs"))
 
-    def listed(batches: Iterator) -> Iterator:
-        for batch in batches:
-            for at in range(0, batch.num_rows, PAGES):
-                part = batch.slice(at, PAGES)
-                met = []
-                for text, salt, found in zip(part["html"].to_pylist(), _uint64(part["salt"]), part["runs"].to_pylist(), strict=True):
-                    known = np.array([r["key"] for r in found or ()], np.int64).view(np.uint64)
-                    met += looked_up([text], np.array([salt]), known, np.array([r["n"] for r in found or ()], np.int64))
-                yield made(part, met)
-
-    return keyed.join(lists, "row", "left").select("page_id", "url", "html", "salt", "runs").mapInArrow(listed, TEXT)
+    def with_own(part) -> Iterator:
+        met = []
+        for text, salt, found in zip(part["html"].to_pylist(), _uint64(part["salt"]), part["runs"].to_pylist(), strict=True):
+            known = np.array([r["key"] for r in found or ()], np.int64).view(np.uint64)
+            order = np.argsort(known)
+            met += looked_up([text], np.array([salt]), known[order], np.array([r["n"] for r in found or ()], np.int64)[order], bits)
+        yield made(part, met)
+
+    return keyed.join(lists, "row", "left").select("page_id", "url", "html", "salt", "runs").mapInArrow(by_parts(with_own), TEXT)
 
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

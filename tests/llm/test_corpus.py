@@ -306,6 +306,8 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_article_text():
     assert html.extract_group([1], [PAGE]) == [("Title & more\nFirst bold text here next\nSecond <tag>\nItem", 4, 0)]
+    # what the markup hints at is read as well, so that runs in it can be counted
+    assert {"We use cookies", "Home", "Site", "Side", "Buy", "mail", "Share", "Nice post", "First!", "© x"} == {b.text for b in html.blocks(PAGE) if b.hinted}
     assert html.extract_group([1, 2], ["", "plain text"]) == [("", 0, 0), ("plain text", 1, 0)]
     assert html.extract_group([1], ["<p>open <script>never ends"])[0][0] == "open"
 
@@ -338,16 +340,96 @@ def test_repeated_runs_go_where_no_article_is_marked():
     assert {t for t, _, _ in html.extract_group([*range(6)], [same] * 6)} == {"one and the same words of an article on all pages"}
 
 
-def test_repeated_runs_go_from_articles():
+def test_repeated_runs_in_articles():
+    def page(k, line="Subscribe now to read all our news every day"):
+        return f"<p>A line of page {k} outside it</p><article><p>own words {k} of page {k * 7} alone {k * 3} and {k * 5} so on</p><p class='x'>{line}</p></article>"
+
+    got = html.extract_group([*range(12)], [page(k) for k in range(12)])
+    assert got == [(f"A line of page {k} outside it\nown words {k} of page {k * 7} alone {k * 3} and {k * 5} so on", 2, 9) for k in range(12)]
+    # a block that fewer pages share, or half of the host's or less, is the article's; so is a passage in a block
+    assert all("Subscribe" in t for t, _, _ in html.extract_group([*range(9)], [page(k) for k in range(9)]))
+    some = [page(k) if k < 15 else page(k, f"another line {k}") for k in range(30)]
+    assert all("Subscribe" in t for t, _, _ in html.extract_group([*range(30)], some)[:15])
+    passage = " ".join(f"quoted{i}" for i in range(60))
+    quoting = [f"<article><h1>Title {k}</h1><p>Before {k} {passage} after {k * 3}</p></article>" for k in range(20)]
+    assert [t for t, _, _ in html.extract_group([*range(20)], quoting)] == [f"Title {k}\nBefore {k} {passage} after {k * 3}" for k in range(20)]
+    # copies of an article stay
+    copy = "<article><p>the very same article of twenty words that is met on all pages of this host and on no other one</p></article>"
+    assert {t for t, _, _ in html.extract_group([*range(12)], [copy] * 12)} == {"the very same article of twenty words that is met on all pages of this host and on no other one"}
+
+
+@pytest.mark.parametrize("page", ['<main><div class="search-results">Found text</div></main>', '<main><div class="social-science">Found text</div></main>', '<article><div class="post-header"><h1>Found text</h1></div></article>'])
+def test_names_that_are_no_boilerplate(page):
+    assert html.extract_group([1], [page])[0][0] == "Found text"
+
+
+def hosts_by_hand(pages):
+    """Text of each page from plain sets of windows and blocks, by host."""
+    every = [html.blocks(h or "") for _, _, h in pages]
+    host = [(re.match(r"\w+://([^/]*)", u or "") or [0, ""])[1].lower() for _, u, _ in pages]
+    spoken = [[re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), b.text)) for b in own] for own in every]
+    seen = collections.defaultdict(set)
+    for (i, _, _), h, own in zip(pages, host, spoken, strict=True):
+        flat = [w for b in own for w in b]
+        seen[h].add(i)
+        for k in range(len(flat) - html.RUN + 1):
+            seen[h, "run", *flat[k : k + html.RUN]].add(i)
+        for b in own:
+            seen[h, "block", *b].add(i)
+    out = []
+    for own, h, said in zip(every, host, spoken, strict=True):
+        flat, n = [w for b in said for w in b], len(seen[h])
+        met = [0] * len(flat)
+        for k in range(len(flat) - html.RUN + 1):
+            for j in range(k, k + html.RUN):
+                met[j] = max(met[j], len(seen[h, "run", *flat[k : k + html.RUN]]))
+        lines, at, shared = [], 0, 0
+        found = []
+        for b, words in zip(own, said, strict=True):
+            here = [max(m, len(seen[h, "block", *words])) for m in met[at : at + len(words)]]
+            at += len(words)
+            found.append([0 if m < 3 else m for m in here])
+        for b, here in zip(own, found, strict=True):
+            if b.article:
+                gone = bool(here) and min(here) >= html.ARTICLE_PAGES and 2 * min(here) > n
+                shared += len(here) * gone
+        total = sum(len(here) for b, here in zip(own, found, strict=True) if b.article)
+        for b, here in zip(own, found, strict=True):
+            if b.hinted:
+                continue
+            if b.article:
+                if not (here and min(here) >= html.ARTICLE_PAGES and 2 * min(here) > n) or shared >= html.COPY_SHARE * total:
+                    lines.append(b.text)
+                continue
+            flags = [m >= max(3, html.LEAST_SHARE * n) for m in here]
+            if not all(flags):
+                for m in re.finditer("1+", "".join("01"[f] for f in flags)):
+                    if m.end() - m.start() < html.RUN:
+                        flags[m.start() : m.end()] = [False] * (m.end() - m.start())
+            if rest := [w for w, f in zip(b.text.split(" "), flags, strict=True) if not f]:
+                lines.append(" ".join(rest))
+        out.append("\n".join(lines))
+    return out
+
+
+@pytest.mark.parametrize("most", [4_000_000, 0])
+def test_pages_equal_plain_sets(spark, monkeypatch, most):
+    """Whole hosts in any order and partitioning, by brute force."""
+    monkeypatch.setattr(html, "BROADCAST_RUNS", most)
+    rng = random.Random(4)
+    lines = [" ".join(rng.choices([f"w{i}" for i in range(300)], k=rng.choice((3, 8, 30)))) for _ in range(12)]
+
     def page(k):
-        return f"<p>A line of page {k} outside it</p><article><p>own words {k} of page {k * 7} alone {k * 3} and {k * 5} so on</p><p class='x'>Subscribe now to read all our news every day</p></article>"
+        own = " ".join(rng.choices([f"u{i}" for i in range(2000)], k=40))
+        body = f"<p>{own} {rng.choice(lines) if rng.random() < 0.5 else ''} {k}</p>" + "".join(f"<div>{x}</div>" for x in rng.sample(lines, 2))
+        return f"<nav>Home {lines[0]}</nav><p>{rng.choice(lines)}</p>" + (f"<article><h1>T{k}</h1>{body}<p>{lines[1]}</p></article>" if rng.random() < 0.6 else f"<p>T{k}</p>{body}") + f"<footer>{lines[2]}</footer>"
 
-    got = html.extract_group([*range(6)], [page(k) for k in range(6)])
-    assert got == [(f"A line of page {k} outside it\nown words {k} of page {k * 7} alone {k * 3} and {k * 5} so on", 2, 9) for k in range(6)]
-    # copies of an article stay, without what stands on many more pages
-    copy = "<article><p>the very same article of twenty words that is met on three pages of this host and on no other one</p><p class='x'>Subscribe now to read all our news every day</p></article>"
-    got = html.extract_group([*range(12)], [copy] * 3 + [page(k) for k in range(9)])
-    assert [t for t, _, _ in got[:3]] == ["the very same article of twenty words that is met on three pages of this host and on no other one"] * 3
+    rows = [(k, f"http://{rng.choice('aaab')}.example/{k}", page(k)) for k in range(160)]
+    rows += rows[:3] + [(7, "http://a.example/7", page(7)), (500, None, None), (501, "http://c.example/", "")]
+    want = hosts_by_hand(rows)
+    df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string").repartition(7)
+    got = [(r["page_id"], r["url"], r["text"]) for r in html.extract(df).collect()]
+    assert sorted(got, key=str) == sorted(((i, u, t) for (i, u, _), t in zip(rows, want, strict=True)), key=str)
 
 
 def test_covered_equals_brute_force():
@@ -370,7 +452,7 @@ def test_covered_equals_brute_force():
 @pytest.mark.parametrize("most", [4_000_000, 0])
 def test_repetition_is_counted_over_the_host(spark, monkeypatch, most):
     monkeypatch.setattr(html, "BROADCAST_RUNS", most)
-    line = "Read all about this section in our weekly letter"
+    line = "Read all about this section in our weekly letter"  # on 1 % of the first host's pages
     rows = [(k, f"http://a.example/{k}", f"<p>own words {k} of page {k * 7} alone {k * 3} and {k * 5}</p>" + f"<p>{line}</p>" * (k % 100 == 0)) for k in range(400)]
     rows += [(1000 + k % 2, f"http://b.example/{k}", f"<p>{line}</p><p>page {k}</p>") for k in range(4)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
