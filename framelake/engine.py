@@ -44,9 +44,9 @@ class Engine:
         return {"corrupt": checks.corrupt, "exposure": checks.exposure, "artifacts": checks.artifacts, "blur": checks.blur, "all": checks.everything}[what](rows)
 
     def leakage(self, manifests: dict[str, str], threshold: int = leakage.THRESHOLD) -> DataFrame:
-        """Leaks between manifests by split label; hashes of up to 64 digits."""
+        """Leaks between manifests by split label."""
         rows = leakage.with_splits({name: self.read(p) for name, p in manifests.items()})
-        return leakage.report(rows, list(manifests), threshold, digits=64)
+        return leakage.report(rows, list(manifests), threshold)
 
     def diff(self, old: str, new: str) -> tuple[DataFrame, DataFrame]:
         a, b = self.read(old), self.read(new)

@@ -8,18 +8,25 @@ from pyspark.sql import functions as F
 UNCOMPARABLE = 999
 
 
-def words64(h: Column, words: int) -> list[Column]:
-    """A hexadecimal string as 64-bit words, most significant first, padded with zeros on the left."""
-    padded = F.lpad(h, 16 * words, "0")
-    return [F.conv(F.substring(padded, 1 + 16 * i, 16), 16, -10).cast("bigint") for i in range(words)]
+def word64(padded: Column, i: Column | int) -> Column:
+    """The 64-bit word number ``i``, from the left, of a hexadecimal string."""
+    at = F.lit(1) + F.lit(16) * i
+    return F.conv(F.substr(padded, at, F.lit(16)), 16, -10).cast("bigint")
 
 
-def hamming(a: Column, b: Column, digits: int = 16) -> Column:
-    """Differing bits of two hexadecimal strings of up to ``digits`` digits; 999 if either is none."""
-    n = -(-digits // 16)
+def hamming(a: Column, b: Column) -> Column:
+    """Differing bits of two hexadecimal strings of any length, as numbers: the shorter has zeros before it; 999
+    if either is none. Hashes of 16 and 64 digits have expressions of their own, others are walked."""
     valid = a.rlike("^[0-9a-fA-F]+$") & b.rlike("^[0-9a-fA-F]+$")
-    bits = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(words64(a, n), words64(b, n), strict=True)), F.lit(0))
-    return F.when(valid, bits).otherwise(F.lit(UNCOMPARABLE)).cast("int")
+    words = F.ceil(F.greatest(F.length(a), F.length(b)) / 16).cast("int")
+
+    def bits(n: int) -> Column:
+        x, y = (F.lpad(h, 16 * n, "0") for h in (a, b))
+        return sum((F.bit_count(word64(x, i).bitwiseXOR(word64(y, i))) for i in range(n)), F.lit(0))
+
+    x, y = (F.lpad(h, words * 16, F.lit("0")) for h in (a, b))
+    walked = F.aggregate(F.sequence(F.lit(0), words - 1), F.lit(0), lambda s, i: s + F.bit_count(word64(x, i).bitwiseXOR(word64(y, i))))
+    return F.when(~valid, F.lit(UNCOMPARABLE)).when(words <= 1, bits(1)).when(words <= 4, bits(4)).otherwise(walked).cast("int")
 
 
 def extension(filename: Column) -> Column:

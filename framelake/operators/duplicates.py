@@ -31,19 +31,21 @@ def duplicate_count(manifest: DataFrame) -> DataFrame:
     return exact_groups(manifest).agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicates"))
 
 
-def near_pairs(manifest: DataFrame, threshold: int = THRESHOLD, cap: int | None = BUCKET_CAP, exact_recall: bool = False, digits: int = 16) -> DataFrame:
+def near_pairs(manifest: DataFrame, threshold: int = THRESHOLD, cap: int | None = BUCKET_CAP, exact_recall: bool = False) -> DataFrame:
     """a, b (row_idx, a < b), path_a, path_b and distance of rows that share a band and lie near.
 
     By default a hash is cut into four equal bands, as digits; buckets of more than ``cap`` rows are skipped,
     which is part of the rule. With ``exact_recall`` equal hashes are first put together as one node (rows of
-    a node hang on its first), the bits are cut into threshold + 1 bands and no bucket is skipped: then no
-    pair of nodes within the threshold can be missed, and ``a`` and ``b`` are the first rows of nodes.
+    a node hang on its first), the bits (of the longest hash, zeros before others) are cut into threshold + 1
+    bands and no bucket is skipped: then no pair of nodes within the threshold can be missed, and ``a`` and ``b``
+    are the first rows of nodes.
     """
     rows = hashable(manifest).select("row_idx", "path", "phash")
     if exact_recall:
         nodes = rows.groupBy("phash").agg(F.min(F.struct("row_idx", "path")).alias("r")).select("r.*", "phash")
-        bits = F.concat(*[F.lpad(F.conv(F.substring(F.lpad("phash", digits, "0"), i + 1, 1), 16, 2), 4, "0") for i in range(digits)])
-        n, cuts = 4 * digits, threshold + 1
+        words = -(-(nodes.agg(F.max(F.length("phash"))).first()[0] or 16) // 16)
+        bits = F.concat(*[F.lpad(F.conv(F.substring(F.lpad("phash", 16 * words, "0"), 16 * i + 1, 16), 16, 2), 64, "0") for i in range(words)])
+        n, cuts = 64 * words, threshold + 1
         bands = [F.substring(bits, 1 + i * n // cuts, (i + 1) * n // cuts - i * n // cuts) for i in range(cuts)]
     else:
         nodes = rows
@@ -55,7 +57,7 @@ def near_pairs(manifest: DataFrame, threshold: int = THRESHOLD, cap: int | None
         sizes = banded.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= cap))
         banded = banded.join(sizes.drop("n"), ["band", "part"], "left_semi")
     a, b = (banded.select("band", "part", F.col("row_idx").alias(s), F.col("path").alias(f"path_{s}"), F.col("phash").alias(f"h{s}")) for s in "ab")
-    pairs = a.join(b, ["band", "part"]).filter("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"), digits)).filter(F.col("distance") <= threshold)
+    pairs = a.join(b, ["band", "part"]).filter("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).filter(F.col("distance") <= threshold)
     near = pairs.select("a", "b", "path_a", "path_b", "distance").distinct()
     if exact_recall:
         own = rows.join(nodes.select("phash", F.col("row_idx").alias("a"), F.col("path").alias("path_a")), "phash").filter("row_idx <> a")

@@ -35,7 +35,7 @@ def quarters(rows: DataFrame, width: int, side: str) -> DataFrame:
     return rows.select(F.explode(parts).alias("part"), F.col("row_idx").alias(f"idx_{side}"), F.col("path").alias(f"path_{side}"), F.col("phash").alias(f"phash_{side}"))
 
 
-def near_pairs(rows: DataFrame, order: Sequence[str], threshold: int = THRESHOLD, digits: int = 16) -> DataFrame:
+def near_pairs(rows: DataFrame, order: Sequence[str], threshold: int = THRESHOLD) -> DataFrame:
     """Pairs over each two splits (in ``order``) that share any quarter of their hashes and lie near, but not
     equal. The quarter's width comes from the first hash of the second split."""
     own = rows.filter("phash <> ''")
@@ -45,7 +45,7 @@ def near_pairs(rows: DataFrame, order: Sequence[str], threshold: int = THRESHOLD
         first = b.agg(F.min(F.struct("row_idx", F.length("phash").alias("n"))).alias("r")).first()["r"]
         width = max(1, first["n"] // 4) if first else 4
         pairs = quarters(a, width, "a").join(quarters(b, width, "b"), "part").filter("phash_a <> phash_b")
-        pairs = pairs.withColumn("distance", hamming(F.col("phash_a"), F.col("phash_b"), digits)).filter(F.col("distance") <= threshold)
+        pairs = pairs.withColumn("distance", hamming(F.col("phash_a"), F.col("phash_b"))).filter(F.col("distance") <= threshold)
         pairs = pairs.select(F.lit(order[i]).alias("split_a"), F.lit(order[j]).alias("split_b"), "idx_a", "path_a", "phash_a", "path_b", "distance").distinct()
         out = pairs if out is None else out.unionByName(pairs)
     return out
@@ -72,13 +72,13 @@ def matched(pairs: DataFrame, seen: DataFrame) -> DataFrame:
         left = cut(left.join(refused, ["path_a", "path_b"], "left_anti"))
 
 
-def report(rows: DataFrame, order: Sequence[str], threshold: int = THRESHOLD, digits: int = 16) -> DataFrame:
+def report(rows: DataFrame, order: Sequence[str], threshold: int = THRESHOLD) -> DataFrame:
     """path, phash, found_in, match_type and matched_path of all leaks."""
     out = exact(rows).withColumn("match_type", F.lit("exact")).withColumn("matched_path", F.lit(None).cast("string"))
     if threshold > 0:
         seen = cut(out.select("path"))
         for a, b in combinations(order, 2):
-            found = matched(near_pairs(rows.filter(F.col("split").isin(a, b)), (a, b), threshold, digits), seen)
+            found = matched(near_pairs(rows.filter(F.col("split").isin(a, b)), (a, b), threshold), seen)
             names = ",".join(sorted((a, b)))
             found = cut(found.select(F.col("path_a").alias("path"), F.col("phash_a").alias("phash"), F.lit(names).alias("found_in"), F.lit("near").alias("match_type"), F.col("path_b").alias("matched_path")))
             out = out.unionByName(found)

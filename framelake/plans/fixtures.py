@@ -12,7 +12,10 @@ from ..config import ScanConfig
 from ..functions.columns import aspect_ratio, distortion_risk
 from ..operators.checks import flags
 
-HASHED = 20
+#: A text's ``phash`` has 64 digits, as a scan's hashes have: for each of these characters, common and rare ones in
+#: turn, how often the whole text has it, in steps of ``STEP``, as a digit of which neighbours differ in one bit.
+COUNTED = "etdgfpy048D?$äéínauo,vx159A-%öèóislm.kj26TS|&üêúrhcbwzq37E!#*ßáñ"
+STEP, GRAY = 2, "01326754cdfeab98"
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +23,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(
         F.col("doc_id").alias("row_idx"), "lang", "source", F.col("n_chars").alias("file_size_bytes"), F.md5(text).alias("m"),
-        F.concat(*[F.substring(F.md5(F.substring(text, 1 + HASHED * i, HASHED)), 1, 1) for i in range(16)]).alias("phash"),
+        F.concat(*[F.substr(F.lit(GRAY), (F.floor((F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))) / STEP) % 16 + 1).cast("int"), F.lit(1)) for c in COUNTED]).alias("phash"),
     )
 
     def b(k: int):
@@ -63,7 +66,8 @@ def _b(k: int) -> str:
 
 #: The same view in SQL.
 MANIFEST_SQL = f"""base as (select doc_id as row_idx, lang, source, n_chars as file_size_bytes, md5(coalesce(text, '')) as m,
-    {" || ".join(f"substr(md5(substr(coalesce(text, ''), {1 + HASHED * i}, {HASHED})), 1, 1)" for i in range(16))} as phash from documents),
+    {" || ".join(f"substr('{GRAY}', (length(t) - length(replace(t, '{c.replace(chr(39), chr(39) * 2)}', ''))) // {STEP} % 16 + 1, 1)" for c in COUNTED)} as phash
+    from (select *, coalesce(text, '') as t from documents)),
   wide as (select row_idx, row_idx::varchar || '.' || case row_idx % 4 when 0 then 'jpg' when 1 then 'JPEG' when 2 then 'png' else 'webp' end as filename,
     source, lang, file_size_bytes, row_idx::double as mtime, 64 + {_b(1)} * 16 as width, 64 + {_b(2)} * 12 as height,
     case row_idx % 4 when 2 then 'PNG' when 3 then 'WEBP' else 'JPEG' end as format,

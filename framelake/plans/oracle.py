@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .fixtures import BOXES_SQL, MANIFEST_SQL, OLD_NEW_SQL, SPLIT_SQL
-from .queries import BATCH, SAMPLE, SIMILARITY
+from .queries import BATCH, PROBE, SAMPLE, SIMILARITY
 
 FIELDS = ("file_size_bytes", "width", "height", "format", "color_mode", "is_corrupt", "is_dark", "is_overexposed", "has_border_artifact", "phash")
 
@@ -22,7 +22,7 @@ def dn(sql: str, more: str = "") -> str:
 
 
 def distance(a: str, c: str) -> str:
-    halves = " + ".join(f"bit_count(xor(('0x' || substr({a}, {i}, 8))::bigint, ('0x' || substr({c}, {i}, 8))::bigint))" for i in (1, 9))
+    halves = " + ".join(f"bit_count(xor(('0x' || substr({a}, {i}, 8))::bigint, ('0x' || substr({c}, {i}, 8))::bigint))::int" for i in range(1, 65, 8))
     return f"({halves})::int"
 
 
@@ -33,7 +33,7 @@ def counts(column: str) -> str:
 EXTENSION = "case when contains(filename, '.') and split_part(filename, '.', -1) <> '' then lower(split_part(filename, '.', -1)) end"
 EXIF = "count(*) filter (where camera_make <> '') as exif_count, count(*) filter (where distortion_risk = 'high') as high_distortion_count, count(*) filter (where has_gps_data) as gps_count, count(*) filter (where orientation_tag <> 1) as rotated_count"
 GROUPS = 'groups as (select phash, count(*) as "count", min_by(path, row_idx) as first_path, min(row_idx) as first_idx from hashable group by phash having count(*) > 1)'
-DUPS = f"""banded as (select row_idx, path, phash, i, substr(phash, 1 + i * 4, 4) as sub from hashable, range(4) r(i)),
+DUPS = f"""banded as (select row_idx, path, phash, i, substr(phash, 1 + i * 16, 16) as sub from hashable, range(4) r(i)),
   buckets as (select i, sub from banded group by i, sub having count(*) between 2 and 500),
   pairs as (select distinct x.row_idx as a, y.row_idx as b, {distance("x.phash", "y.phash")} as distance from banded x join banded y on x.i = y.i and x.sub = y.sub and x.row_idx < y.row_idx
     join buckets k on k.i = x.i and k.sub = x.sub where {distance("x.phash", "y.phash")} <= 8)"""
@@ -101,13 +101,13 @@ ORACLE: dict[str, str] = {
     "duplicate_count": m('select coalesce(sum("count" - 1), 0)::bigint as duplicates from groups', GROUPS),
     "duplicate_members": m("select phash, path, row_idx = first_idx as is_first from hashable join groups using (phash)", GROUPS),
     "plot_duplicates": m('select "count" as group_size, count(*) as groups from groups group by "count" union all select 1, (select count(*) from manifest) - (select coalesce(sum("count"), 0) from groups)::bigint', GROUPS),
-    "hamming_distance": m(f"select path, {distance('phash', chr(39) + '0123456789abcdef' + chr(39))} as distance from manifest"),
+    "hamming_distance": m(f"select path, {distance('phash', chr(39) + PROBE + chr(39))} as distance from manifest"),
     "near_dup_pairs": m("select a, b, distance from pairs", DUPS),
     "near_dup_pairs_exact": m(f"""select x.r as a, y.r as b, {distance("x.phash", "y.phash")} as distance from n x join n y on x.r < y.r and {distance("x.phash", "y.phash")} <= 3
       union all select r, row_idx, 0 from hashable join n using (phash) where row_idx <> r""", "n as (select phash, min(row_idx) as r from hashable group by phash)"),
     "near_dup_clusters": m("select row_idx, cluster from clusters", f"{DUPS}, {CLUSTERS}"),
     "leakage_exact": m("select path, min_by(phash, row_idx) as phash, min_by(found_in, row_idx) as found_in from s join shared using (phash) group by path", LEAKS, SPLIT_SQL),
-    "leakage_near_pairs": m(NEAR_LEAKS, "quarters as (select distinct split, path, phash, row_idx, substr(phash, 1 + i * 4, 4) as sub from s, range(4) r(i) where phash <> '')", SPLIT_SQL),
+    "leakage_near_pairs": m(NEAR_LEAKS, "quarters as (select distinct split, path, phash, row_idx, substr(phash, 1 + i * 16, 16) as sub from s, range(4) r(i) where phash <> '')", SPLIT_SQL),
     "diff_added": dn("select distinct path from new where path not in (select path from old)"),
     "diff_removed": dn("select distinct path from old where path not in (select path from new)"),
     "diff_status": dn("select path, status from j", JOINED),

@@ -17,6 +17,8 @@ from . import fixtures as fx
 Query = Callable[[SparkSession, str], DataFrame]
 POLICY = Policy(max_blurry_pct=50.0, max_artifact_pct=50.0, min_width=80, min_height=80, allowed_formats=("JPEG", "PNG"), max_aspect_ratio=3.0)
 SIMILARITY, SAMPLE, BATCH = 0.35, 100, 20
+#: What ``hamming_distance`` holds hashes against.
+PROBE = "0123456789abcdef" * 4
 
 
 def _manifest(f: Callable[[DataFrame], DataFrame]) -> Query:
@@ -112,7 +114,7 @@ QUERIES: dict[str, Query] = {
     "duplicate_count": _manifest(duplicates.duplicate_count),
     "duplicate_members": _manifest(duplicates.members),
     "plot_duplicates": _manifest(duplicates.group_sizes),
-    "hamming_distance": _manifest(lambda m: m.select("path", fn.hamming(F.col("phash"), F.lit("0123456789abcdef")).alias("distance"))),
+    "hamming_distance": _manifest(lambda m: m.select("path", fn.hamming(F.col("phash"), F.lit(PROBE)).alias("distance"))),
     "near_dup_pairs": _manifest(lambda m: duplicates.near_pairs(m).select("a", "b", "distance")),
     "near_dup_pairs_exact": _manifest(lambda m: duplicates.near_pairs(m, threshold=3, exact_recall=True).select("a", "b", "distance")),
     "near_dup_clusters": _manifest(duplicates.near_clusters),

@@ -46,7 +46,10 @@ def test_hamming(spark, a, b, want):
 
 
 def test_hamming_of_long_hashes(spark):
-    assert spark.range(1).select(fn.hamming(F.lit("f" * 64), F.lit("0" * 64), 64)).first()[0] == 256
+    assert spark.range(1).select(fn.hamming(F.lit("f" * 64), F.lit("0" * 64))).first()[0] == 256
+    # lengths that differ, and hashes beyond 64 digits
+    for a, b in (("f" * 64, "f"), ("1" + "0" * 99, "3"), ("ab" * 70, "ba" * 70), ("f", "0" * 40)):
+        assert spark.range(1).select(fn.hamming(F.lit(a), F.lit(b))).first()[0] == (int(a, 16) ^ int(b, 16)).bit_count()
 
 
 def leaks(spark, splits, **more):
