@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
+from ..schema import CSV_COLUMNS, PARQUET_BASE, PARQUET_NESTED
 from .fixtures import BOXES_SQL, MANIFEST_SQL, OLD_NEW_SQL, SPLIT_SQL
 from .queries import BATCH, PROBE, SAMPLE, SIMILARITY
 
 FIELDS = ("file_size_bytes", "width", "height", "format", "color_mode", "is_corrupt", "is_dark", "is_overexposed", "has_border_artifact", "phash")
 
 
+#: Columns that the manifest view leaves absent, its statistics, and what both are in flat exports.
+ABSENT = "null::varchar as lens_model, null::double as focal_length_mm, null::double as f_number, null::double as exposure_time_sec, null::varchar as datetime_original, null::varchar as dhash"
+STATS = "mean_r, mean_g, mean_b, 0.0::double as std_r, 0.0::double as std_g, 0.0::double as std_b, mean_brightness, 0 as min_val, 255 as max_val, 0.0::double as corner_mean, 0.0::double as center_mean, 0.0::double as border_mean, delta"
+BOOLEANS = {"has_gps_data", "is_blurry", "is_corrupt", "is_dark", "is_overexposed", "has_border_artifact"}
+ZERO, NUMBERS = "0.0::double", {"focal_length_mm", "f_number", "exposure_time_sec"}
+CELLS = {n: "''" for n in ("lens_model", "datetime_original", "dhash", "analyzed_at", *NUMBERS)} | {n: ZERO for n in ("std_r", "std_g", "std_b", "corner_mean", "center_mean", "border_mean")} | {"corner_delta": "delta"}
+TEXTS = {"path", "filename", "format", "color_mode", "camera_make", "camera_model", "lens_model", "datetime_original", "distortion_risk", "phash", "dhash", "analyzed_at"}
+
+
+def cell(name: str) -> str:
+    """A column of the flat Parquet form over the view."""
+    last = name.rpartition(".")[2]
+    return {"min_val": "0", "max_val": "255"}.get(last) or (ZERO if last in NUMBERS else CELLS.get(last, last))
+
+
+def empty(name: str) -> str:
+    return "''" if name in TEXTS else "0"
+
+
 def m(sql: str, more: str = "", prelude: str = MANIFEST_SQL) -> str:
     """``sql`` over the manifest views and further ones."""
     return f"with recursive {prelude}{', ' + more if more else ''} {sql}"
@@ -116,8 +136,8 @@ ORACLE: dict[str, str] = {
       {", ".join(f"(select count(*) from {t}) as total_{t}, (select count(*) from {t} where is_corrupt) as corrupt_{t}, (select count(*) from (select phash from {t} where not is_corrupt and phash <> '' group by phash having count(*) > 1)) as duplicate_groups_{t}" for t in ("old", "new"))} from j""", JOINED),
     "latest_only": dn("select path, max(row_idx) as row_idx, max(height) as height from (select path, row_idx, height from old union all select path, row_idx, height from new) group by path"),
     "resume_pending": m("select path, file_size_bytes, mtime from manifest where not (row_idx % 3 = 0 and row_idx % 6 <> 0)"),
-    "merge_manifests": m("select path, file_size_bytes, width, height from manifest"),
-    "manifest_roundtrip": m("select path, width, height, format, phash, blur_score, mean_brightness, camera_make, is_corrupt from manifest"),
+    "merge_manifests": m("select path, file_size_bytes, width, height, (count(*) over ())::bigint as records, 1::bigint as skipped_lines, 1::bigint as missing_parts from (select path, file_size_bytes, width, height from manifest union all select 'odd/a', 7, 640, 480 union all select 'odd/b', 0, 0, 0)"),
+    "manifest_roundtrip": m(f"select path, filename, file_size_bytes, mtime, width, case when row_idx % 50 = 0 then 3 else height end as height, format, color_mode, num_channels, aspect_ratio, camera_make, camera_model, focal_length_35mm, iso_speed, orientation_tag, has_gps_data, distortion_risk, phash, blur_score, is_blurry, is_corrupt, is_dark, is_overexposed, has_border_artifact, {ABSENT}, {STATS} from manifest"),
     "gate_report": m(f"""select 1 as ord, 'min_images_total' as name, 100.0::double as threshold, n::double as observed, n >= 100 as passed from t
       union all {" union all ".join(share(2 + k, name, limit, n) for k, (name, limit, n) in enumerate((("max_corrupt_pct", 1.0, "corrupt"), ("max_overexposed_pct", 5.0, "bright"), ("max_underexposed_pct", 5.0, "dark"), ("max_duplicate_pct", 10.0, "dups"), ("max_blurry_pct", 50.0, "blurry"), ("max_artifact_pct", 50.0, "artifact"))))}
       union all select 8, 'min_width', 80.0, width::double, width >= 80 from t union all select 9, 'min_height', 80.0, height::double, height >= 80 from t
@@ -158,8 +178,8 @@ ORACLE: dict[str, str] = {
     "plot_exif_focal": histogram("valid", "focal_length_35mm", "50", where="focal_length_35mm > 0"),
     "plot_exif_zones": m("select case when focal_length_35mm < 24 then 'Ultra-wide' when focal_length_35mm < 35 then 'Wide' when focal_length_35mm < 70 then 'Normal' when focal_length_35mm < 200 then 'Telephoto' else 'Super-telephoto' end as zone, count(*) as \"count\" from valid where focal_length_35mm > 0 group by 1"),
     "plot_exif_iso": histogram("valid", "iso_speed", "50", ", count(*) filter (where v >= 3200) as high_noise", "iso_speed > 0"),
-    "flatten_csv": m("select path, file_size_bytes::varchar as file_size_bytes, coalesce(camera_make, '') as camera_make, mean_brightness::varchar as mean_brightness, delta::varchar as corner_delta, case when is_dark then 'True' else 'False' end as is_dark, case when has_gps_data then 'True' else 'False' end as has_gps_data from manifest"),
-    "flatten_parquet": m("select path, coalesce(camera_make, '') as camera_make, coalesce(focal_length_35mm, 0) as focal_length_35mm, '' as lens_model, mean_r, 255 as max_val, delta from manifest"),
+    "flatten_csv": m("select " + ", ".join(f"case when {c} then 'True' else 'False' end as {c}" if c in BOOLEANS else f"coalesce({CELLS.get(c, c)}::varchar, '') as {c}" for c, _ in CSV_COLUMNS) + " from manifest"),
+    "flatten_parquet": m("select " + ", ".join(f"{c} as {c}" if c in BOOLEANS else f"coalesce({cell(c)}, {empty(c)}) as {c.replace('.', '_')}" for c in (*PARQUET_BASE, *PARQUET_NESTED)) + " from manifest"),
     "sample_n": m(f"select path from valid order by md5(path || '42'), path limit {SAMPLE}"),
     "batch_chunks": m(f"select (k // {BATCH})::bigint as batch, count(*) as n, min(path) as first_path from (select path, row_number() over (order by row_idx) - 1 as k from manifest) group by 1"),
     "size_estimate": m("select sum(file_size_bytes)::bigint as exact_bytes, floor((select avg(file_size_bytes) from (select file_size_bytes from manifest order by row_idx limit 100)) * count(*))::bigint as estimated_bytes from manifest"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,18 +54,30 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fx.manifest(spark, sf_dir)
-    parts = [m.filter(F.col("row_idx") % 3 == k).select("path", "file_size_bytes", "width", "height") for k in range(3)]
-    return files.merge(parts)
+    at = f"{shared_root(spark)}/merge/{uuid.uuid4().hex}"
+    for k in range(3):
+        files.write_jsonl(m.filter(F.col("row_idx") % 3 == k).drop("row_idx"), f"{at}/{k}", {"input_dir": "/"})
+    # A torn line, a blank one, and records with values of other types than their columns'.
+    odd = [('{"path": "torn', ), ("  ", ), ('{"path": "odd/a", "width": 640.0, "height": "480", "file_size_bytes": 7, "pixel_stats": 3}', ), ('{"path": "odd/b", "width": "wide", "more": [1]}', )]
+    spark.createDataFrame(odd, "value string").coalesce(1).write.text(f"{at}/0/records/append=000000002")
+    counts = files.merge_files(spark, [f"{at}/{k}" for k in range(4)], f"{at}/out", {})
+    rows = files.read_jsonl(spark, f"{at}/out")[1]
+    return rows.select("path", "file_size_bytes", "width", "height", *[F.lit(counts[c]).cast("bigint").alias(c) for c in ("records", "skipped_lines", "missing_parts")])
 
 
 def manifest_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Written as JSON lines with a header, read back."""
-    import uuid
-
+    """Written as JSON lines with a header, a small append before and a large one after, read back: the last row of
+    each path, all columns."""
     path = f"{shared_root(spark)}/roundtrip/{uuid.uuid4().hex}"
-    files.write_jsonl(fx.manifest(spark, sf_dir).drop("row_idx"), path, {"input_dir": "/", "settings": {}})
+    m = fx.manifest(spark, sf_dir)
+    files.write_jsonl(m.withColumn("width", F.lit(1)).drop("row_idx"), path, {"input_dir": "/", "settings": {}})
+    files.append_jsonl(m.filter("row_idx % 10 = 0").withColumn("width", F.lit(2)).drop("row_idx"), path)
+    files.append_jsonl(m.drop("row_idx"), path)
+    files.append_jsonl(m.filter("row_idx % 50 = 0").withColumn("height", F.lit(3)).drop("row_idx"), path)
     _, records = files.read_jsonl(spark, path)
-    return records.select("path", "width", "height", "format", "phash", "blur_score", F.col("pixel_stats.mean_brightness").alias("mean_brightness"), "camera_make", "is_corrupt")
+    rows = diff.latest_only(records)
+    nested = [F.col(f"{s}.{f.name}").alias(f.name) for s in ("pixel_stats", "corner_stats") for f in rows.schema[s].dataType]
+    return rows.select(*[c for c in rows.columns if c not in ("pixel_stats", "corner_stats", "analyzed_at", "analyzer_version", "row_idx")], *nested)
 
 
 def batch_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +101,23 @@ def bbox_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixel_stats_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Channel statistics as SQL gives them, on rows of synthetic pixels of each order."""
+    """Channel statistics by the scan's kernel, on an image of synthetic pixels for each order."""
     p = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", *[F.floor(c).cast("double").alias(n) for n, c in (("r", F.col("l_quantity") * 5), ("g", F.col("l_discount") * 2000), ("b", F.col("l_tax") * 3000))])
-    stats = [F.round(f(c), 6).alias(f"{n}_{c}") for c in "rgb" for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    return p.groupBy("l_orderkey").agg(*stats, F.round(F.avg((F.col("r") + F.col("g") + F.col("b")) / 3), 6).alias("mean_brightness"), F.min(F.least("r", "g", "b")).alias("min_val"), F.max(F.greatest("r", "g", "b")).alias("max_val"))
+    whole = p.groupBy("l_orderkey").agg(F.collect_list(F.struct("r", "g", "b")).alias("pixels"))  # an order has seven lines at most
+    names = [f"{n}_{c}" for c in "rgb" for n in ("mean", "std")] + ["mean_brightness", "min_val", "max_val"]
+
+    def task(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from ..functions import kernels
+
+        for batch in batches:
+            made = [kernels.pixel_stats(np.array([[[x["r"], x["g"], x["b"]]] for x in image], np.uint8)) for image in batch["pixels"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["l_orderkey"], *[pa.array([float(m[n]) for m in made], pa.float64()) for n in names]], names=["l_orderkey", *names])
+
+    found = whole.mapInArrow(task, "l_orderkey long, " + ", ".join(f"{n} double" for n in names))
+    return found.select("l_orderkey", *[F.round(n, 6).alias(n) for n in names])
 
 
 QUERIES: dict[str, Query] = {
@@ -161,8 +187,8 @@ QUERIES: dict[str, Query] = {
     "plot_exif_focal": _manifest(plots.exif_focal),
     "plot_exif_zones": _manifest(plots.focal_zones),
     "plot_exif_iso": _manifest(plots.exif_iso),
-    "flatten_csv": _manifest(lambda m: files.flat_csv(files.conformed(m)).select("path", "file_size_bytes", "camera_make", "mean_brightness", "corner_delta", "is_dark", "has_gps_data")),
-    "flatten_parquet": _manifest(lambda m: files.flat_parquet(files.conformed(m)).select("path", "camera_make", "focal_length_35mm", "lens_model", F.col("`pixel_stats.mean_r`").alias("mean_r"), F.col("`pixel_stats.max_val`").alias("max_val"), F.col("`corner_stats.delta`").alias("delta"))),
+    "flatten_csv": _manifest(lambda m: files.flat_csv(files.conformed(m))),
+    "flatten_parquet": _manifest(lambda m: (flat := files.flat_parquet(files.conformed(m))).toDF(*[c.replace(".", "_") for c in flat.columns])),
     "sample_n": _manifest(lambda m: plots.prepared(m, SAMPLE).select("path")),
     "batch_chunks": batch_chunks,
     "size_estimate": _manifest(files.size_estimate),

@@ -7,16 +7,18 @@ from collections.abc import Iterable
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from ..operators.graph import cut
-from ..schema import CSV_COLUMNS, DEFAULTS, MANIFEST, PARQUET_BASE, PARQUET_NESTED, kind, with_defaults
+from ..schema import CSV_COLUMNS, DEFAULTS, MANIFEST, META, PARQUET_BASE, PARQUET_NESTED, kind, with_defaults
 
 MARKER = "__manifest_meta__"
 SCHEMA_VERSION = 1
+#: Blocks of files that are broadcast to number their lines.
+BROADCAST_BLOCKS = 200_000
 
 
 def conformed(rows: DataFrame) -> DataFrame:
@@ -26,9 +28,36 @@ def conformed(rows: DataFrame) -> DataFrame:
     return rows.select(*[c.alias(f.name) for c, f in zip(out, MANIFEST, strict=True)], *(["row_idx"] if "row_idx" in have else []))
 
 
-def _parsed(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([*MANIFEST.fields, T.StructField(MARKER, T.BooleanType()), T.StructField("input_dir", T.StringType()), T.StructField("schema_version", T.IntegerType()), T.StructField("settings", T.MapType(T.StringType(), T.StringType())), T.StructField("total_files", T.LongType()), T.StructField("created_at", T.StringType()), T.StructField("_corrupt", T.StringType())])
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", "true").json(path)
+def _text(t: T.DataType) -> T.DataType:
+    """The type with text for every value of records: what a line holds never fails to be read."""
+    return T.StringType() if not isinstance(t, T.StructType) else T.StructType([T.StructField(f.name, T.StringType()) for f in t])
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, block and line (ascending by one in a block) of all lines."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(path)
+    rows = rows.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return rows
+
+
+def _parsed(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``r``, their keys as text, and ``_damaged``. JSON that is no object raises."""
+    plain = T.StructType([*[T.StructField(f.name, T.StringType()) for f in MANIFEST], *[T.StructField(n, T.StringType()) for n in (MARKER, *META.names)], T.StructField("_corrupt", T.StringType())])
+    lines = lines.filter(F.trim("value") != "")
+    value = F.trim("value")
+    other = ~value.startswith("{") & F.try_parse_json(value).isNotNull()
+    parsed = F.from_json(value, plain, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return lines.withColumn("r", F.when(other, F.raise_error(F.concat(F.lit("a line is JSON but no object: "), F.substring(value, 1, 80)))).otherwise(parsed)).withColumn("_damaged", F.col("r").isNull() | F.col("r._corrupt").isNotNull())
+
+
+def _typed(c: Column, t: T.DataType) -> Column:
+    """Text as a value of a type; what doesn't fit is null. Whole numbers may be written with a fraction."""
+    if isinstance(t, T.StructType):
+        held = F.from_json(c, _text(t))
+        return F.when(c.startswith("{"), F.struct(*[_typed(held[f.name], f.dataType).alias(f.name) for f in t]))
+    if isinstance(t, (T.IntegerType, T.LongType)):
+        return F.coalesce(c.try_cast(t), c.try_cast("double").try_cast(t))
+    return c.try_cast(t)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -36,23 +65,38 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``row_idx``: by append, then file, then place in the file, however Spark packs the files."""
+    append = F.coalesce(F.regexp_extract("file", r"/append=(\d+)/", 1).try_cast("bigint"), F.lit(-1).cast("bigint"))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first"))
+    # A row for each block of a file, as many as Spark's driver has read tasks.
+    blocks = cut(blocks.withColumn("before", F.sum("n").over(W.orderBy(append, "file", "block")) - F.col("n")).drop("n"))
+    if blocks.count() <= BROADCAST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    return lines.join(blocks, ["file", "block"]).withColumn("row_idx", F.col("before") + F.col("line") - F.col("first")).drop("before", "first")
+
+
 def read_jsonl(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Header rows and records. Blank and damaged lines, a torn tail too, are skipped; unknown keys dropped;
-    absent ones defaulted; headers after the first are no records. A missing file has no records.
+    absent ones, and values that don't fit their column, defaulted; headers after the first are no records. JSON that
+    is no object raises. A missing file has no records.
 
-    ``row_idx`` ascends in the order of files and of lines in them.
+    ``row_idx`` ascends in the order of appends, files and lines in them.
     """
     if not exists(spark, path):
         empty = spark.createDataFrame([], T.StructType([*MANIFEST.fields, T.StructField("row_idx", T.LongType())]))
         return spark.createDataFrame([], "input_dir string, schema_version int, settings map<string,string>, total_files bigint, created_at string"), empty
-    rows = _parsed(spark, path).withColumn("row_idx", F.monotonically_increasing_id()).filter("_corrupt is null")
-    meta = rows.filter(F.col(MARKER)).select("input_dir", "schema_version", "settings", "total_files", "created_at")
-    return meta, conformed(rows.filter(~F.coalesce(F.col(MARKER), F.lit(False))))
+    rows = _parsed(_numbered(_lines(spark, path))).filter("not _damaged")
+    header = F.coalesce(F.lower(F.col(f"r.{MARKER}")) == "true", F.lit(False))
+    settings = F.from_json("r.settings", T.MapType(T.StringType(), T.StringType()))
+    meta = rows.filter(header).select(*[(settings if f.name == "settings" else _typed(F.col(f"r.{f.name}"), f.dataType)).alias(f.name) for f in META])
+    records = rows.filter(~header).select("row_idx", *[_typed(F.col(f"r.{f.name}"), f.dataType).alias(f.name) for f in MANIFEST])
+    return meta, conformed(records)
 
 
 def damaged(spark: SparkSession, path: str) -> int:
-    """Lines that are no JSON."""
-    return spark.read.text(path, recursiveFileLookup=True).filter("trim(value) <> ''").filter(F.try_parse_json("value").isNull()).count()
+    """Lines that ``read_jsonl`` skips, but blank ones."""
+    return _parsed(_lines(spark, path)).filter("_damaged").count()
 
 
 def meta_line(meta: dict) -> str:
@@ -63,7 +107,10 @@ def meta_line(meta: dict) -> str:
 def write_jsonl(rows: DataFrame, path: str, meta: dict, mode: str = "overwrite") -> None:
     """Records as JSON lines below ``path`` and the header as a file of its own, which sorts first."""
     spark = rows.sparkSession
-    conformed(rows).drop("row_idx").write.mode(mode).json(f"{path}/records")
+    if mode == "overwrite":
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/records")
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    append_jsonl(rows, path)
     write_meta(spark, path, meta)
 
 
@@ -73,7 +120,15 @@ def write_meta(spark: SparkSession, path: str, meta: dict) -> None:
 
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
-    conformed(rows).drop("row_idx").write.mode("append").json(f"{path}/records")
+    """Records as a folder of their own, whose number ascends, so that readers know the order of appends."""
+    conformed(rows).drop("row_idx").write.mode("append").json(f"{path}/records/append={_next(rows.sparkSession, path):09d}")
+
+
+def _next(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/records")
+    store = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in store.listStatus(p)] if store.exists(p) else []
+    return 1 + max([0, *(int(n[7:]) for n in names if n.startswith("append=") and n[7:].isdigit())])
 
 
 def write_parquet(rows: DataFrame, path: str, mode: str = "overwrite", partition_by: str | None = None) -> None:

@@ -227,6 +227,47 @@ def test_manifest_files(spark, tmp_path):
     assert [r["input_dir"] for r in meta.collect()] == ["/y"] and rows.count() == 4
 
 
+@pytest.mark.parametrize("sizes", [(3, 400, 20), (400, 3, 1), (1, 1, 1)])
+def test_rows_keep_the_order_of_appends(spark, tmp_path, sizes):
+    """Later appends win, whichever is the largest; rows of a file keep their order."""
+    path = str(tmp_path / "m")
+    for k, n in enumerate(sizes):
+        rows = manifest(spark, [{"path": f"p{i}", "width": k, "height": i + 1} for i in range(n)]).repartition(3, "height").sortWithinPartitions("height")
+        files.append_jsonl(rows, path) if k else files.write_jsonl(rows, path, {})
+    _, got = files.read_jsonl(spark, path)
+    held = [(r["width"], r["path"]) for r in got.orderBy("row_idx").collect()]
+    assert [w for w, _ in held] == sorted(w for w, _ in held) and len(held) == sum(sizes) and got.select("row_idx").distinct().count() == len(held)
+    last = {r["path"]: r["width"] for r in diff.latest_only(got).collect()}
+    assert last == {f"p{i}": max(k for k, n in enumerate(sizes) if i < n) for i in range(max(sizes))}
+
+
+def test_long_files_in_blocks(spark, tmp_path):
+    p = tmp_path / "m.jsonl"
+    p.write_text("".join(f'{{"path": "p{i}", "width": {i}}}\n' + "\n" * (i % 3) for i in range(3000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = files.read_jsonl(spark, str(p))[1].orderBy("row_idx").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r["width"] for r in rows] == list(range(3000)) and len({r["row_idx"] for r in rows}) == 3000
+
+
+def test_odd_values_are_kept(spark, tmp_path):
+    p = tmp_path / "m.jsonl"
+    lines = ['{"path": "a", "width": 640.0, "height": "480", "blur_score": 3, "pixel_stats": {"mean_r": 1, "max_val": 9.0}, "is_dark": "yes", "camera_make": 7}', '{"path": "b", "width": "wide", "pixel_stats": 3, "corner_stats": [1]}', '{"path": "c", "width": null, "is_corrupt": true}', '{"path": "d"} x', '{"path": "e", "wid']
+    p.write_text("\n".join(lines))
+    rows = {r["path"]: r for r in files.read_jsonl(spark, str(p))[1].collect()}
+    assert (rows["a"]["width"], rows["a"]["height"], rows["a"]["blur_score"], rows["a"]["camera_make"]) == (640, 480, 3.0, "7")
+    assert rows["a"]["pixel_stats"]["mean_r"] == 1.0 and rows["a"]["pixel_stats"]["max_val"] == 9 and rows["a"]["is_dark"]
+    assert rows["b"]["width"] == 0 and rows["b"]["pixel_stats"] is None and rows["c"]["is_corrupt"]
+    assert set(rows) | {"d"} == {"a", "b", "c", "d"} and len(rows) + files.damaged(spark, str(p)) == len(lines)
+    for other in ("[1, 2]", "5", '"text"', "null"):
+        p.write_text('{"path": "a"}\n' + other + "\n")
+        with pytest.raises(Exception, match="no object"):
+            files.read_jsonl(spark, str(p))[1].collect()
+
+
 def test_torn_lines_and_headers(spark, tmp_path):
     p = tmp_path / "m.jsonl"
     p.write_text('{"__manifest_meta__": true, "input_dir": "/d"}\n\n{"path": "/data/a.jpg", "extra": 1}\n{"__manifest_meta__": true}\n{"path": "/data/b.jpg", "trunc')
