@@ -24,6 +24,8 @@ class ScanConfig:
     blur_threshold: float = 100.0
     duplicate_hamming_threshold: int = 8
     max_image_dimension: int = 2048
+    #: Seconds for a file; what takes longer is corrupt.
+    image_timeout: float = 60.0
     resume: bool = True
     force: bool = False
 

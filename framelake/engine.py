@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .config import PlotConfig, Policy, ScanConfig
 from .operators import annotations, checks, diff, duplicates, embeddings, gate, leakage, rendering, summary
+from .operators.graph import cut
 from .sources import formats, images, labels
 from .sources import manifest as files
 
@@ -82,6 +83,14 @@ class Engine:
         held = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
         return embeddings.compute(held.join(rows, "path", "left_semi"), load)
 
+    def embedding_report(self, vectors: DataFrame, plot_dir: str | None = None) -> dict[str, Any]:
+        """Outliers of stored vectors (path, embedding): their number, the first ten, and the scatter plot's path."""
+        out = embeddings.outliers(vectors, id_col="path")
+        found: dict[str, Any] = {"outliers": out.count(), "first": [r["path"] for r in out.orderBy("path").limit(10).collect()]}
+        if plot_dir:
+            found["plot"] = rendering.embedding_plot(embeddings.project(vectors, id_col="path"), out, PlotConfig(output_dir=plot_dir))
+        return found
+
     def report(self, path: str, output: str) -> str:
         return rendering.report(self.read(path), output)
 
@@ -97,6 +106,36 @@ class Engine:
         return rows.count()
 
 
+def run_jobs(engine: Engine, root: str, output: str, batch_size: int = 20, config: dict[str, Any] | None = None) -> dict[str, Any]:
+    """The jobs in their order: list, analyse each batch, merge, aggregate, plot. A failing job ends the chain with
+    its name and error; batches that were analysed by an earlier run are not analysed again."""
+    done: dict[str, Any] = {}
+
+    def job(**event: Any) -> dict[str, Any]:
+        found = handle(engine, event)
+        if found["status"] != 200:
+            raise RuntimeError(found["error"])
+        done[event["action"]] = found
+        return found
+
+    at = "list_images"
+    try:
+        n = job(action=at, root=root, batch_size=batch_size, output=f"{output}/batches")["batches"]
+        at, parts = "analyze_batch", [f"{output}/partials/{k}" for k in range(n)]
+        for k, part in enumerate(parts):
+            if not files.exists(engine.spark, f"{part}/meta/_SUCCESS"):
+                job(action=at, batches=f"{output}/batches", batch=k, output=part, root=root, config=config or {})
+        at = "merge_manifests"
+        job(action=at, parts=parts, output=f"{output}/manifest", root=root)
+        at = "aggregate"
+        job(action=at, manifest=f"{output}/manifest")
+        at = "generate_plots"
+        job(action=at, manifest=f"{output}/manifest", output=f"{output}/plots")
+    except Exception as e:  # noqa: BLE001 the state says which job failed
+        return {"status": 500, "failed": at, "error": str(e)[:500]} | done
+    return {"status": 200} | done
+
+
 #: Actions of the pipeline of jobs: list, analyse, merge, aggregate, plot.
 def handle(engine: Engine, event: dict[str, Any]) -> dict[str, Any]:
     """Run the job that ``event['action']`` names; an unknown one gives the status 400."""
@@ -104,10 +143,20 @@ def handle(engine: Engine, event: dict[str, Any]) -> dict[str, Any]:
     spark = engine.spark
     if action == "list_images":
         keys = images.distributed_listing(spark, event["root"]).withColumn("row_idx", F.monotonically_increasing_id())
-        return {"status": 200, "batches": files.batches(keys.select("row_idx", "path"), event.get("batch_size", 20)).agg(F.count_distinct("batch")).first()[0]}
+        dealt = files.batches(keys.select("row_idx", "path"), event.get("batch_size", 20))
+        if "output" in event:
+            dealt.write.mode("overwrite").parquet(event["output"])
+            dealt = spark.read.parquet(event["output"])
+        return {"status": 200, "batches": dealt.agg(F.count_distinct("batch")).first()[0], "keys": event.get("output")}
     if action == "analyze_batch":
-        rows, bad = engine.scan(event["root"], event["output"], ScanConfig.of(event.get("config", {})))
-        return {"status": 200, "records": rows, "errors": bad}
+        keys = event.get("keys")
+        if keys is None:  # the numbered batch of a listing; it has batch_size keys
+            keys = [r["path"] for r in spark.read.parquet(event["batches"]).filter(F.col("batch") == event["batch"]).orderBy("row_idx").collect()]
+        with images.small_batches(spark):
+            made = cut(images.scan_keys(spark, keys, ScanConfig.of(event.get("config", {}))))
+        files.write_jsonl(made, event["output"], {"input_dir": event.get("root", "")})
+        bad = made.filter("is_corrupt").count()
+        return {"status": 200, "processed": len(keys) - bad, "errors": bad, "output": event["output"]}
     if action == "merge_manifests":
         return {"status": 200} | files.merge_files(spark, event["parts"], event["output"], {"input_dir": event.get("root", "")})
     if action == "aggregate":

@@ -93,6 +93,40 @@ def project(vectors: DataFrame, id_col: str = "vec_id", col: str = "embedding")
     return PCA(k=2, inputCol="v", outputCol="p").fit(rows).transform(rows).select(id_col, xy[0].alias("x"), xy[1].alias("y"))
 
 
+def clip(model: str = "ViT-B-32", pretrained: str = "laion2b_s34b_b79k", device: str | None = None) -> Callable[[], Callable[[list[bytes | None]], np.ndarray]]:
+    """A loader of an image encoder for ``compute``. The packages it needs are optional; without them this raises."""
+    try:
+        import open_clip  # noqa: F401
+        import torch  # noqa: F401
+    except ImportError as e:
+        raise ImportError("embeddings need the packages open_clip and torch, or an encoder of your own (--encoder module:function)") from e
+
+    def load() -> Callable[[list[bytes | None]], np.ndarray]:
+        import io
+
+        import open_clip
+        import torch
+        from PIL import Image
+
+        where = device or ("cuda" if torch.cuda.is_available() else "cpu")
+        net, _, prepare = open_clip.create_model_and_transforms(model, pretrained=pretrained, device=where)
+        net.eval()
+
+        def encode(contents: list[bytes | None]) -> np.ndarray:
+            held = []
+            for c in contents:
+                try:
+                    held.append(prepare(Image.open(io.BytesIO(c or b"")).convert("RGB")))
+                except Exception:  # noqa: BLE001 an unreadable image counts as black
+                    held.append(prepare(Image.new("RGB", (224, 224))))
+            with torch.no_grad():
+                return net.encode_image(torch.stack(held).to(where)).float().cpu().numpy()
+
+        return encode
+
+    return load
+
+
 def compute(images: DataFrame, load: Callable[[], Callable[[list[bytes | None]], np.ndarray]], batch: int = 32) -> DataFrame:
     """path and embedding of images (path, content), in batches, unit length.
 

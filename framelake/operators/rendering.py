@@ -73,16 +73,53 @@ PLOTS: dict[str, Callable[[DataFrame], str]] = {
 }
 
 
-def plot(manifest: DataFrame, name: str, config: PlotConfig = PlotConfig()) -> str:
-    """Write one plot; returns its path."""
-    rows = manifest if config.sample is None or name == "duplicates" else plots.sample_n(plots.valid(manifest), config.sample, config.seed)
+def heat(title: str, names: Sequence[str], cells: dict[tuple[str, str], float]) -> str:
+    """A matrix of named rows and columns as shades."""
+    top, n = max([*cells.values(), 1]), max(len(names), 1)
+    side, left = min((W - 3 * PAD) / n, (H - 2 * PAD) / n), 3 * PAD
+    body = [f'<text x="{W / 2}" y="20" text-anchor="middle" font-size="14">{html.escape(title)}</text>']
+    for i, a in enumerate(names):
+        body.append(f'<text x="{left - 4}" y="{PAD + (i + 0.7) * side:.1f}" text-anchor="end" font-size="{min(10, side):.1f}">{html.escape(a)[:20]}</text>')
+        for j, b in enumerate(names):
+            v = cells.get((a, b), 0)
+            body.append(f'<rect x="{left + j * side:.1f}" y="{PAD + i * side:.1f}" width="{side:.1f}" height="{side:.1f}" fill="#4878a8" fill-opacity="{v / top:.3f}"><title>{html.escape(a)}, {html.escape(b)}: {v:g}</title></rect>')
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {W} {H}" font-family="sans-serif">{"".join(body)}</svg>'
+
+
+def scatter(title: str, points: Sequence[tuple[float, float, bool]]) -> str:
+    """Points in two colours, the marked ones larger."""
+    xs, ys = [p[0] for p in points] or [0.0], [p[1] for p in points] or [0.0]
+    sx, sy = (W - 2 * PAD) / ((max(xs) - min(xs)) or 1), (H - 2 * PAD) / ((max(ys) - min(ys)) or 1)
+    marked = sum(m for *_, m in points)
+    body = [f'<text x="{W / 2}" y="20" text-anchor="middle" font-size="14">{html.escape(title)}</text>', f'<text x="{W - PAD}" y="34" text-anchor="end" font-size="10">{len(points) - marked:,} normal, {marked:,} outliers</text>']
+    body += [f'<circle cx="{PAD + (x - min(xs)) * sx:.1f}" cy="{H - PAD - (y - min(ys)) * sy:.1f}" r="{3 if m else 1.5}" fill="{"#c44e52" if m else "#4878a8"}" fill-opacity="{0.8 if m else 0.4}"/>' for x, y, m in sorted(points, key=lambda p: p[2])]
+    return f'<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 {W} {H}" font-family="sans-serif">{"".join(body)}</svg>'
+
+
+def embedding_plot(projection: DataFrame, outliers: DataFrame, config: PlotConfig = PlotConfig()) -> str:
+    """Projected vectors (path, x, y) with the outliers (path) marked, of so many as a scatter shows; returns its path."""
+    marks = outliers.select("path").distinct().withColumn("outlier", F.lit(True))
+    some = plots.sample_n(projection, config.sample or plots.SCATTER, config.seed)
+    rows = some.join(marks, "path", "left").select("x", "y", F.coalesce("outlier", F.lit(False)).alias("outlier")).collect()
+    return _written("embedding_projection", scatter("Embeddings", [tuple(r) for r in rows]), config)
+
+
+def _written(name: str, svg: str, config: PlotConfig) -> str:
+    if config.format != "svg":
+        raise ValueError(f"plots are written as svg, not as {config.format}")
     os.makedirs(config.output_dir, exist_ok=True)
     path = os.path.join(config.output_dir, f"{name}.svg")
     with open(path, "w", encoding="utf-8") as f:
-        f.write(PLOTS[name](rows))
+        f.write(svg)
     return path
 
 
+def plot(manifest: DataFrame, name: str, config: PlotConfig = PlotConfig()) -> str:
+    """Write one plot; returns its path."""
+    rows = manifest if config.sample is None or name == "duplicates" else plots.sample_n(plots.valid(manifest), config.sample, config.seed)
+    return _written(name, PLOTS[name](rows), config)
+
+
 def plot_all(manifest: DataFrame, config: PlotConfig = PlotConfig()) -> tuple[list[str], dict[str, str]]:
     """All plots; those that fail are returned with their error."""
     made, skipped = [], {}
@@ -97,13 +134,14 @@ def plot_all(manifest: DataFrame, config: PlotConfig = PlotConfig()) -> tuple[li
 def annotation_plots(boxes: DataFrame, images: DataFrame) -> dict[str, str]:
     counts = annotations.class_counts(boxes, annotations.TOP)
     cells = annotations.heatmap(boxes).collect()
-    pairs = annotations.co_occurrence(boxes).withColumn("pair", F.concat_ws(" + ", "class_a", "class_b")).filter("class_a < class_b")
+    names = [r["class_name"] for r in counts.orderBy(F.desc("count"), "class_name").limit(20).collect()]
+    pairs = annotations.co_occurrence(boxes).filter(F.col("class_a").isin(names) & F.col("class_b").isin(names)).collect()  # 400 at most
     per_image = annotations.objects_per_image(boxes, images).orderBy("objects").limit(50).collect()
     return {
         "class_frequency": _named("Classes", counts, "class_name"),
         "bbox_sizes": _named("Box sizes", annotations.size_classes(boxes), "size_class"),
         "objects_per_image": bars("Objects per image", [str(r["objects"]) for r in per_image], [r["images"] for r in per_image]),
-        "co_occurrence": _named("Classes together", pairs, "pair", "images", 20),
+        "co_occurrence": heat("Classes together", names, {(r["class_a"], r["class_b"]): r["images"] for r in pairs}),
         "coverage": grid("Box centres", [(c["cell_x"], c["cell_y"], c["count"]) for c in cells], annotations.GRID),
     }
 

@@ -29,6 +29,12 @@ class DatasetInfo:
         return self.class_names[:FIRST_NAMES]
 
 
+def selected_dirs(info: DatasetInfo, splits: list[str]) -> list[str]:
+    """The image folders named like the splits that were chosen; all where none is or none fits."""
+    chosen = [d for d in info.image_dirs if Path(d).name in splits] if info.splits else []
+    return chosen or info.image_dirs
+
+
 def images_in(root: Path) -> list[Path]:
     return [p for p in root.rglob("*") if p.suffix.lower() in EXTENSIONS and p.is_file()] if root.is_dir() else []
 

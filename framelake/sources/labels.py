@@ -66,7 +66,7 @@ def coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFram
     images = doc.select(F.posexplode("images").alias("k", "i")).select("k", "i.*").groupBy("id").agg(F.max(F.struct("k", "file_name", "width", "height")).alias("r"))
     images = images.select(F.col("id").alias("image_id"), F.col("r.file_name").alias("image"), F.coalesce("r.width", F.lit(1.0)).alias("iw"), F.coalesce("r.height", F.lit(1.0)).alias("ih"))
     categories = doc.select(F.inline("categories")).select(F.col("id").alias("category_id"), "name").dropDuplicates(["category_id"])
-    rows = doc.select(F.inline("annotations")).filter("size(bbox) >= 4").join(images, "image_id").join(F.broadcast(categories), "category_id", "left")
+    rows = doc.select(F.inline("annotations")).filter("size(bbox) >= 4").join(images, "image_id").join(categories, "category_id", "left")
     box = normalised_box("coco", F.col("iw"), F.col("ih"), *[F.element_at("bbox", k) for k in range(1, 5)])
     boxes = rows.select("image", F.col("category_id").alias("class_id"), F.coalesce("name", F.col("category_id").cast("string")).alias("class_name"), *[c.alias(n) for n, c in box.items()])
     return boxes, images.filter("image is not null").select("image").distinct(), categories

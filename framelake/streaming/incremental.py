@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ScanConfig
-from ..operators.checks import flags
 from ..sources import images
 from ..sources import manifest as files
 
@@ -23,8 +22,7 @@ def headers(stream: DataFrame, config: ScanConfig = ScanConfig()) -> DataFrame:
     """Header and EXIF columns of arriving files; pixels need the batch scan's decoder."""
     rows = stream.filter(F.lower("path").rlike("(" + "|".join(e.lower().replace(".", r"\.") for e in config.extensions) + ")$"))
     found = images.analysed(rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content"), config)
-    ratio = F.when(F.col("height") > 0, F.round(F.col("width") / F.col("height"), 4)).otherwise(F.lit(0.0))
-    return flags(found.withColumns({"aspect_ratio": ratio, "filename": F.element_at(F.split("path", "/"), -1)}), config)
+    return images.finished(found.withColumn("filename", F.element_at(F.split("path", "/"), -1)), config)
 
 
 def follow(spark: SparkSession, root: str, output: str, checkpoint: str, config: ScanConfig = ScanConfig(), available_now: bool = True) -> StreamingQuery:

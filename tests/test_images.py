@@ -1,11 +1,15 @@
+import json
+import shutil
 import struct
+import time
 import zlib
 
 import numpy as np
 import pytest
 
+from framelake import cli
 from framelake.config import PlotConfig, Policy, ScanConfig
-from framelake.engine import Engine, handle
+from framelake.engine import Engine, handle, run_jobs
 from framelake.functions import kernels
 from framelake.sources import images
 from framelake.streaming import incremental
@@ -136,6 +140,89 @@ def test_report_plots_and_jobs(spark, folder, tmp_path):
     assert handle(e, {"action": "aggregate", "manifest": out})["summary"]["total_images"] == 9
     assert handle(e, {"action": "list_images", "root": str(folder), "batch_size": 3})["batches"] == 3
     assert handle(e, {"action": "nothing"})["status"] == 400
+    with pytest.raises(ValueError, match="svg"):
+        e.plot(out, "blur", PlotConfig(output_dir=str(tmp_path / "plots"), format="pdf"))
+
+
+def test_jobs_in_a_chain(spark, folder, tmp_path):
+    e, out = Engine(spark), f"file://{tmp_path}/jobs"
+    keys = [str(folder / n) for n in ("dark.png", "corrupt.jpg", "missing.png")]
+    got = handle(e, {"action": "analyze_batch", "keys": keys, "output": f"{out}/one", "config": {"include_hashes": False}})
+    assert (got["processed"], got["errors"]) == (1, 2)
+    rows = {r["path"]: r for r in e.read(f"{out}/one").collect()}
+    assert set(rows) == set(keys) and rows[keys[0]]["is_dark"] and rows[keys[0]]["phash"] is None and rows[keys[2]]["is_corrupt"]
+    found = run_jobs(e, str(folder), str(tmp_path / "all"), batch_size=3)
+    assert found["status"] == 200 and found["list_images"]["batches"] == 3 and found["aggregate"]["summary"]["total_images"] == 8  # no empty file
+    assert found["merge_manifests"]["records"] == 8 and len(found["generate_plots"]["plots"]) == 11
+    again = run_jobs(e, str(folder), str(tmp_path / "all"), batch_size=3)
+    assert again["status"] == 200 and "analyze_batch" not in again
+    assert run_jobs(e, str(tmp_path / "nowhere"), str(tmp_path / "x"))["failed"] == "list_images"
+
+
+def test_scan_reads_pending_files_alone_and_shuffles_no_bytes(spark, folder, tmp_path):
+    found = images.pending_files(spark, str(folder), ScanConfig())
+    df = images.analysed_files(spark, spark.createDataFrame(found[:2], images.LISTING), [r[0] for r in found[:2]], ScanConfig())
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "Exchange" in line:
+            assert "content" not in line and "image#" not in line
+    assert df.count() == 2
+    out, e = str(tmp_path / "m"), Engine(spark)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "77")
+    try:
+        # turns of one file for each core, each appended on its own
+        assert e.scan(str(folder), out, ScanConfig(checkpoint_every=1)) == (9, 2)
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "77"
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    turns = list((tmp_path / "m" / "records").glob("append=*"))
+    assert len(turns) == 1 + -(-9 // spark.sparkContext.defaultParallelism)
+    # a run that broke off after the first turn goes on with the others
+    for t in sorted(turns)[2:]:
+        shutil.rmtree(t)
+    held = e.read(out).count()
+    assert 0 < held < 9 and e.scan(str(folder), out)[0] == 9 and e.read(out).select("path").distinct().count() == 9
+
+
+def test_names_with_pattern_characters(spark, tmp_path):
+    d = tmp_path / "odd"
+    d.mkdir()
+    for n in ("a[1].png", "b{x}.png", "c*.png", "d e?.png", "f%20+.png"):
+        (d / n).write_bytes(png(np.full((8, 8, 3), 120, np.uint8)))
+    assert images.run_scan(spark, str(d), str(tmp_path / "o")) == (5, 0)
+
+
+def test_time_limit_of_an_image():
+    with pytest.raises(TimeoutError):
+        with images.limited(0.05):
+            time.sleep(1)
+    with images.limited(0.2):
+        pass
+    time.sleep(0.3)  # the limit is over
+
+
+def black(contents=None):
+    return lambda cs: np.array([[float(len(c or b"")), 1.0, 2.0] for c in cs])
+
+
+def test_embed_command(spark, folder, tmp_path, capsys):
+    out = str(tmp_path / "m")
+    Engine(spark).scan(str(folder), out)
+    where = ["-m", out, "-r", str(folder), "-o", str(tmp_path / "v"), "--plot-dir", str(tmp_path / "plots")]
+    assert cli.main(["embed", *where]) == 1 and "open_clip" in capsys.readouterr().err
+    assert cli.main(["embed", *where, "--encoder", "tests.test_images:black"]) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert found["images"] == 7 and "<circle" in open(found["plot"]).read()
+
+
+def test_json_outputs(spark, folder, tmp_path):
+    out = str(tmp_path / "m")
+    assert cli.main(["scan", str(folder), "-o", out, "--checkpoint-every", "2"]) == 0
+    assert cli.main(["gate", "-m", out, "-o", str(tmp_path / "g.json")]) == 2
+    assert json.load(open(tmp_path / "g.json"))["passed"] is False
+    assert cli.main(["diff", "--old", out, "--new", out, "-o", str(tmp_path / "d")]) == 0
+    assert spark.read.json(str(tmp_path / "d" / "summary")).first()["unchanged_count"] == 9
 
 
 def test_incremental(spark, folder, tmp_path):
