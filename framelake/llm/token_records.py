@@ -100,12 +100,13 @@ class SegmentEncoder:
     generations bound the cache.
     """
 
-    def __init__(self, path: str, size: int = CACHE):
+    def __init__(self, path: str, size: int = CACHE, special: bool = True):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = not special  # if not, names of added tokens are plain text
         self.model = self.tok.model.tokenize
-        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()] if special else []
         self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.size = size
         #: Ids by segment: those that a space comes before, and others.

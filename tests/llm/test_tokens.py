@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from framelake.llm import bpe, chat, token_records
@@ -174,6 +175,46 @@ def test_masks_hold_the_assistant_texts(spark):
 
 
 def test_masked_spans_by_search():
-    assert chat.masked([(2, 5), (7, 9)], [0, 1, 4, 6, 8], [1, 4, 6, 8, 10]) == ([1, 2, 3, 4], [2, 4, 7, 8], [4, 5, 8, 9])
+    def search(spans, starts, ends):
+        a, b = np.array(spans, np.int64).reshape(-1, 2).T
+        return tuple(x.tolist() for x in chat.masked(a, b, np.array(starts), np.array(ends)))
+
+    assert search([(2, 5), (7, 9)], [0, 1, 4, 6, 8], [1, 4, 6, 8, 10]) == ([1, 2, 3, 4], [2, 4, 7, 8], [4, 5, 8, 9])
     # two tokens of one character
-    assert chat.masked([(0, 2)], [0, 0, 1], [1, 1, 2]) == ([0, 1, 2], [0, 1, 1], [1, 1, 2])
+    assert search([(0, 2)], [0, 0, 1], [1, 1, 2]) == ([0, 1, 2], [0, 1, 1], [1, 1, 2])
+    assert search([], [0, 1], [1, 2]) == ([], [], [])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\t.,!'1é中😀<|im_end>\u00a0 s", max_size=40), max_size=4))
+def test_offsets_equal_the_library(texts):
+    plain = Tokenizer.from_file(JSON)
+    plain.encode_special_tokens = True
+    for t, (ids, begin, end) in zip(texts, chat.encoder(JSON)(texts), strict=True):
+        e = plain.encode(t, add_special_tokens=False)
+        assert ids.tolist() == e.ids and [*zip(begin.tolist(), end.tolist(), strict=True)] == e.offsets
+
+
+@pytest.mark.parametrize("most", [4 << 20, 30])
+def test_parts_of_conversations_join(spark, monkeypatch, most):
+    """A conversation with most of the rows, dealt to many tasks and parts, against one rendering by the library."""
+    monkeypatch.setattr(chat, "PARTS", most)
+    random.seed(2)
+    said = ["ok then.", "", "Ünïcode 中 text\n\nwith lines ", "<|im_end|> <|endoftext|>", " spaced  out", None]
+    rows = [(5, k, random.choice(["user", "assistant"]), random.choice(said)) for k in range(400)] + [(k % 7 + 10, k, "assistant", random.choice(said)) for k in range(60)]
+    df = conversations(spark, rows).withColumn("part", F.lit("x")).withColumn("whole", F.lit(1)).repartition(6)
+    made = chat.format_conversations(df, JSON).collect()
+    plain = Tokenizer.from_file(JSON)
+    plain.encode_special_tokens = True
+    digest = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(df, JSON)).collect()}
+    assert len([r for r in made if r["conv_id"] == 5]) > (1 if most > 100 else 50)
+    for c in {r[0] for r in rows}:
+        turns = [(role, text or "") for _, _, role, text in sorted((r for r in rows if r[0] == c), key=lambda r: (r[1], r[2], r[3] or ""))]
+        text, _ = chat.render(turns)
+        own = sorted((r for r in made if r["conv_id"] == c), key=lambda r: r["part"])
+        assert "".join(r["formatted"] for r in own) == text
+        assert [i for r in own for i in r["ids"]] == plain.encode(text, add_special_tokens=False).ids
+        loss = "".join(t for role, t in turns if role == "assistant")
+        assert (digest[c]["n_turns"], digest[c]["loss_chars"], digest[c]["formatted_chars"]) == (len(turns), len(loss), len(text))
+        assert digest[c]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert digest[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
