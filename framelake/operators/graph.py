@@ -12,9 +12,12 @@ _FALLBACK: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a temporary one if unset."""
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share; a temporary one if unset on a local
+    master, elsewhere an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _FALLBACK:
             _FALLBACK.append("file://" + tempfile.mkdtemp(prefix="framelake-"))
         root = _FALLBACK[0]
