@@ -15,11 +15,13 @@ _FALLBACK: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """URI of the folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``. Where that is unset (tests on one machine) a
-    temporary folder of this driver is used.
+    It is the session's ``spark.checkpoint.dir``. Where that is unset a temporary folder of this driver is used on a
+    local master, as in tests; elsewhere this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = _FALLBACK.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="framelake-"))
     return root.rstrip("/")
 

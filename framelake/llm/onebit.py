@@ -13,12 +13,14 @@ original coordinates; so is every vector whose upper bound reaches the k-th of t
 be among the k, or only by such a case.
 
 Every row is coded. Queries and candidates meet in blocks of fixed size, so a task holds one block of each;
-each block gives k rows a query. Nothing is gathered on the driver but the mean of the vectors.
+each block gives k rows a query. Blocks of queries are as large as ``QUERY_BYTES`` allow, since every one of them meets
+all candidates. Nothing is gathered on the driver but the mean of the vectors.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, neither
-do rows with a null id or vectors of another size than the most frequent; equal scores order by the smaller
-id; rows that repeat an id are candidates each, and of those that ask the least vector asks; a query never meets rows of its own id; with fewer than k
-candidates all are returned; an empty table gives no rows; other columns are ignored.
+do rows with a null id; vectors of another size have no inner product with each other, so each size is searched on
+its own; equal scores order by the smaller id; rows that repeat an id are candidates each, and of those that ask the
+least vector asks; a query never meets rows of its own id; with fewer than k candidates all are returned; vectors of
+any size are used whole; an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from pyspark.sql import Window as W
 from .common import stored
 
 BOUND = 1.9
-#: Queries and candidates in a block.
-QUERIES, CANDIDATES = 4096, 8192
+#: Bytes of the queries of a block, and candidates in one.
+QUERY_BYTES, CANDIDATES = 64 << 20, 8192
 #: Queries held against a block at a time; times k, the vectors scored first.
 TOGETHER, FIRST = 64, 8
 SEED = 7
@@ -119,16 +121,19 @@ def nearest_in_block(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray,
 def search(vectors: DataFrame, asks, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest rows to each row for which the column ``asks``
     holds (on ``id_col``, here named vec_id)."""
-    spark = vectors.sparkSession
     x = F.transform(F.col(vector_col), lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("vector")).filter(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)))
-    sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not sizes:
-        return empty
-    dim, n = sizes[0]["dim"], sizes[0]["n"]
-    rows = rows.filter(F.size("vector") == dim)
+    sizes = rows.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy("dim").collect()
+    out = vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for r in sizes:  # nearly always one
+        found = _search(rows.filter(F.size("vector") == r["dim"]), asks, k, r["dim"], r["n"], seed)
+        out = found if len(sizes) == 1 else out.unionByName(found)
+    return out
+
+
+def _search(rows: DataFrame, asks, k: int, dim: int, n: int, seed: int) -> DataFrame:
+    """The search among ``n`` rows (vec_id, vector) of ``dim`` components."""
     means = rows.select(F.posexplode("vector")).groupBy("pos").agg(F.avg("col").alias("mean")).collect()  # dim rows
     mean, turn = np.zeros(dim), rotation(dim, seed)
     for r in means:
@@ -147,7 +152,7 @@ def search(vectors: DataFrame, asks, k: int = 20, id_col: str = "vec_id", vector
     n_blocks = max(1, -(-n // CANDIDATES))
     asked = index.filter(asks).groupBy("vec_id").agg(F.min("vector").alias("vector"))
     n_queries = asked.count()
-    q_blocks = max(1, -(-n_queries // QUERIES))
+    q_blocks = max(1, -(-n_queries * 8 * dim // QUERY_BYTES))
     dealt = F.xxhash64("vec_id")
     left = asked.select("vec_id", "vector", F.pmod(dealt, F.lit(q_blocks)).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("c"))
     right = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q"), F.pmod(dealt, F.lit(n_blocks)).cast("int").alias("c"))

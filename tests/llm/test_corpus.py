@@ -525,7 +525,7 @@ def nearest(ids, x, k):
 @pytest.mark.parametrize("n,dim,k", [(600, 64, 20), (30, 20, 40), (300, 7, 5)])
 def test_search_recall(spark, monkeypatch, n, dim, k):
     monkeypatch.setattr(onebit, "CANDIDATES", 128)
-    monkeypatch.setattr(onebit, "QUERIES", 16)
+    monkeypatch.setattr(onebit, "QUERY_BYTES", 16 * 8 * dim)
     rng = np.random.default_rng(n)
     x = rng.normal(size=(n, dim)) + 0.3
     x[5] = x[6]
@@ -544,6 +544,10 @@ def test_search_leaves_out_what_has_no_direction(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in onebit.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 20), (0, 2, 8), (0, 3, 9), (20, 1, 0), (20, 2, 8), (20, 3, 9)]
+    # sizes are searched apart; ids that repeat are candidates each, and the least vector of an id asks
+    more = spark.createDataFrame([*rows, (40, [2.0]), (40, [3.0]), (6, [5.0])], "vec_id long, embedding array<double>").withColumn("vector", F.lit("x")).withColumn("code", F.lit(1))
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in onebit.search(more, F.col("vec_id") % 20 == 0).filter("query_id = 40").orderBy("rank").collect()]
+    assert got == [(40, 1, 6, 10.0), (40, 2, 6, 2.0)]
     assert onebit.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
