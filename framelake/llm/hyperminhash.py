@@ -17,10 +17,12 @@ one class, represented by its smallest document id; only representatives go on.
 Work in a group of n near copies thus grows with n and its stragglers, not with n squared, and no group is
 gathered in one task. Links are never collected.
 
-Two sets with similarity J share no band with probability (1 - J^ROWS)^BANDS: 2e-9 at 0.85, 3e-6 at 0.8.
+Two sets with similarity J share no band with probability (1 - J^ROWS)^BANDS: 2e-9 at 0.85, 3e-6 at 0.8; an
+estimate more than ``SIGMAS`` standard errors low drops a pair with probability 3e-7. Sets are of 64-bit shingle
+hashes, in ``n_shingles`` and in the confirmation alike: two shingles of a text of n are one with probability n^2 / 2^65.
 
 Defined cases: null and empty texts have no shingles and are linked with nothing; texts with fewer words than
-k are one shingle; repeated rows are each kept with one result; rows that share an id are one document; a
+k are one shingle; texts of any length are read whole; repeated rows are each kept with one result; rows that share an id are one document; a
 null id is linked with nothing and kept; an empty table gives no rows; other columns are ignored.
 """
 
@@ -41,6 +43,8 @@ REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 6, 42
 SIGMAS = 5.0
 #: Members of a key compared at a time: those outside the most frequent component, and all.
 BLOCK, PART = 1024, 2048
+#: Columns that stand beside those of the documents for a while.
+OWN = ("_framelake_id", "_framelake_text")
 #: Ids that are broadcast to fetch their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 
@@ -131,11 +135,12 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tu
     return (a == b).mean(axis=-1) - chance, 1.25 * np.sqrt(0.85 * 0.15 / filled)
 
 
-SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("registers", T.BinaryType())])
+SKETCH = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("registers", T.BinaryType())])
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set size, digest of the set (null if empty) and registers."""
+    """doc_id, a hash of the text, set size, digest of the set (null if empty) and registers."""
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -148,6 +153,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         part["doc_id"],
+                        part["text_key"],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([r.tobytes() if len(s) else None for r, s in zip(registers, sets, strict=True)], pa.binary()),
@@ -318,7 +324,8 @@ def stragglers(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: Da
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links) and kept, for every row."""
+    """doc_id, n_shingles, component_id (the smallest id reachable by links), kept and text_key (the text's hash), for
+    every row."""
     similarity = percent / 100
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     every = stored(sketches(docs, k), "sketches")
@@ -345,20 +352,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         labels = components(links.unionByName(more))
     forget(more, known, guessed, texts, ids)
     classes = reps.select("set_key", F.col("doc_id").alias("rep")).join(labels.withColumnsRenamed({"node": "rep"}), "rep", "left").select("set_key", F.coalesce("label", "rep").alias("component"))
-    out = every.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(classes, "set_key", "left")
+    out = every.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(classes, "set_key", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
 
 
 def deduplicated(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without those that a smaller id of their component stands for; of rows that share an id, one."""
-    gone = near_duplicates(docs, k, percent).filter("not kept").select("doc_id").distinct()
-    twice = stored(docs.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated")
-    rest = docs.join(gone, "doc_id", "left_anti")
+    """``docs`` without rows that a smaller id of their component stands for; of rows that share an id and a text, one.
+
+    Rows that share an id but not a text are judged each by its own text. Rows with a null id stay.
+    """
+    text = text_of()
+    gone = near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias(OWN[0]), F.col("text_key").alias(OWN[1])).distinct()
+    here = [F.col("doc_id").cast("long") == F.col(OWN[0]), F.xxhash64(text) == F.col(OWN[1])]
+    rest = docs.join(gone, here, "left_anti")
+    twice = stored(docs.groupBy("doc_id", F.xxhash64(text).alias(OWN[1])).count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias(OWN[0]), OWN[1]), "repeated")
     if twice.limit(1).count():
-        rest = rest.join(twice, "doc_id", "left_anti").unionByName(rest.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        same = rest.join(twice, here, "left_semi").withColumn(OWN[1], F.xxhash64(text)).dropDuplicates(["doc_id", OWN[1]])
+        rest = rest.join(twice, here, "left_anti").unionByName(same.drop(OWN[1]))
     return rest.select(docs.columns)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=85).drop("text_key")

@@ -91,6 +91,16 @@ def test_near_duplicates_of_odd_tables(spark):
     assert sorted(r["doc_id"] or 0 for r in hyperminhash.deduplicated(docs).collect()) == [0, 0, 7]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_text(spark):
+    copy, own = "a b c d e f g h i j", "quite other words that are met here alone and nowhere else"
+    rows = [(3, copy, 1), (7, copy, 2), (7, own, 3), (7, own, 4), (8, own + " x", 5), (None, copy, 6), (9, None, 7), (9, None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _framelake int").withColumn("component_id", F.lit("x")).withColumn("kept", F.lit(False))
+    out = hyperminhash.deduplicated(docs)
+    assert out.columns == docs.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    assert got == [(0, copy), (3, copy), (7, own), (9, "")]
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(5)
     for n, shared in ((2000, 0.9), (300, 0.85), (2000, 0.3)):
