@@ -13,7 +13,8 @@ Each distinct piece is merged once, lowest rank first, and cached in two bounded
 offsets of pieces and byte offsets of tokens map ids back to the text.
 
 Defined cases: null text is the empty text, with no ids, the digest of the empty string and no decoded bytes;
-rows that repeat are each kept; long texts are cut at no point, as columns of the scan may begin anywhere.
+rows that repeat are each kept; long texts are cut at no point, as columns of the scan may begin anywhere; an
+empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -351,12 +352,12 @@ def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
 
 
 def _tokens(enc: Encoding, text: str, ids: list[int]):
-    return ids, *_digest(enc, text, ids)
+    return *_with_ends(enc, text, ids), *_digest(enc, text, ids)
 
 
 def tokens(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``round_trip`` with the ids themselves."""
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    """``round_trip`` with the ids themselves and ``ends``, the byte of the text that each ends at."""
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return _mapped(docs, ranks, id_col, text_col, fields, _tokens)
 
 

@@ -38,8 +38,8 @@ from .token_records import SegmentEncoder
 
 START, END = "<|im_start|>", "<|im_end|>"
 TRAINED = ("assistant",)
-#: Characters of a part of a conversation, and of parts encoded together.
-PARTS, TOGETHER = 4 << 20, 4 << 20
+#: Characters of a part of a conversation, and of parts encoded together; segments of texts kept by a worker.
+PARTS, TOGETHER, CACHE = 256 << 10, 1 << 20, 100_000
 
 #: ``turns`` are the spans of the turns' texts, in code points of ``formatted``; ``mask`` lists the tokens
 #: under the loss, ``mask_start`` and ``mask_end`` the part of the rendering each adds. ``whole`` tells that a
@@ -118,9 +118,9 @@ class OffsetEncoder:
     """Ids of texts with the code points that each token covers."""
 
     def __init__(self, path: str):
-        self.encoder = SegmentEncoder(path, special=False)
+        self.encoder = SegmentEncoder(path, CACHE, special=False)
         vocabulary = self.encoder.tok.get_vocab(with_added_tokens=True)
-        self.size = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.size = np.zeros(max(vocabulary.values()) + 1, np.int32)
         for token, i in vocabulary.items():
             self.size[i] = len(token)  # the alphabet has a character for each byte
 
@@ -129,7 +129,7 @@ class OffsetEncoder:
 
         for text, payload in zip(texts, self.encoder.many(pa.array(texts, pa.string())), strict=True):
             ids = np.frombuffer(payload, f"<u{self.encoder.width}")
-            stop = np.cumsum(self.size[ids])
+            stop = np.cumsum(self.size[ids], dtype=np.int32)
             begin = stop - self.size[ids]
             data = text.encode()
             if len(data) == len(text):
@@ -200,7 +200,7 @@ def format_conversations(rows: DataFrame, tokenizer_path: str, trained: tuple[st
             formatted, spans = render(own)
             some.append((conv_id, whole, formatted, np.array(spans, np.int64), np.array([role in trained for role, _ in own], bool)))
             chars += len(formatted)
-            if chars >= TOGETHER or len(some) >= 2048:
+            if chars >= TOGETHER or len(some) >= 1024:
                 yield from made()
                 some, chars = [], 0
         if some:

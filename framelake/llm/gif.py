@@ -10,7 +10,8 @@ size, pixels and a histogram of each colour channel.
 
 Defined cases: null or empty bytes encode as no samples, for payloads of text padded to one row; null media
 decode to no frames; damaged media give the frames before the damage and say what was wrong in ``error``;
-equal bytes give equal media; repeated rows are each kept; extra columns are ignored.
+equal bytes give equal media; repeated rows are each kept; texts of any length are stored whole, as many frames;
+an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ LONGEST, STREAMS, SLOTS = FULL - FIRST, 1536, 4096
 BINS = 16
 PADDING = 255
 #: Rows handled together.
-PART = 1024
+PART, PART_BYTES = 1024, 4 << 20
 
 #: The lowest bits, by their number.
 MASKS = ((1 << np.arange(13)) - 1).astype(np.int32)
@@ -359,16 +360,23 @@ MEDIA = [T.StructField("n_bytes", T.LongType()), T.StructField("media", T.Binary
 
 
 def _by_part(df: DataFrame, schema: T.StructType, fn) -> DataFrame:
-    """Apply ``fn`` to the columns of a few rows at a time; it returns rows."""
+    """Apply ``fn`` to the columns of a few rows at a time, with ``PART_BYTES`` in the last column or a single row; it
+    returns rows."""
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark.sql.pandas.types import to_arrow_schema
 
         target = to_arrow_schema(schema)
         for batch in batches:
-            for at in range(0, batch.num_rows, PART):
-                made = fn(*(c.to_pylist() for c in batch.slice(at, PART).columns))
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch.columns[-1]), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                before = int(upto[at - 1]) if at else 0
+                n = min(PART, max(1, int(np.searchsorted(upto, before + PART_BYTES, "right")) - at))
+                made = fn(*(c.to_pylist() for c in batch.slice(at, n).columns))
+                at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), target, strict=True)], schema=target)
 
     return df.mapInArrow(task, schema)

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, partitions, stored, text_of
+from .common import forget, stored, text_of
 from .hashing import BASES, powers, mix, word_hashes
 
 #: Pages of a group; words that a repeated run has at least; words that suffixes are sorted by.
@@ -50,7 +50,7 @@ LEAST_PAGES, LEAST_SHARE = 3, 0.01
 #: Pages from which a block of an article may be boilerplate; share of an article's words from which it is a copy.
 ARTICLE_PAGES, COPY_SHARE = 10, 0.8
 #: Characters of pages for a bucket of keys, and bits that name buckets at most.
-BUCKET_CHARS, BUCKET_BITS = 4 << 20, 23
+BUCKET_CHARS, BUCKET_BITS = 1 << 20, 23
 #: Buckets that a task adds up, one after another.
 TOGETHER = 4
 #: Repeated runs that are broadcast; more are joined by a shuffle, dealt by so many salts.
@@ -556,8 +556,7 @@ def repeated_runs(rows: DataFrame, bits: int) -> DataFrame:
         dealt = pages.join(twice, same, "left_anti").mapInArrow(task, BUCKET).unionByName(more)
     else:
         dealt = pages.mapInArrow(task, BUCKET)
-    parts = max(partitions(rows.sparkSession), (1 << bits) // TOGETHER)
-    found = stored(dealt.repartition(parts, "bucket").groupBy("bucket").applyInArrow(add, RUNS), "repeated-runs")
+    found = stored(dealt.repartition((1 << bits) // TOGETHER, "bucket").groupBy("bucket").applyInArrow(add, RUNS), "repeated-runs")
     forget(twice)
     return found
 
@@ -567,7 +566,7 @@ def extract(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", text_of("html").alias("html"), F.xxhash64(host_of(F.col("url"))).alias("salt"))
     chars = rows.agg(F.sum(F.length("html"))).first()[0] or 0
-    bits = min(BUCKET_BITS, max(TOGETHER * partitions(spark), -(-chars // BUCKET_CHARS)).bit_length())
+    bits = min(BUCKET_BITS, max(4 * TOGETHER, -(-chars // BUCKET_CHARS)).bit_length())
     runs = repeated_runs(rows, bits)
 
     def made(part, met: list[tuple[str, int, int]]):

@@ -42,7 +42,7 @@ MAGIC = b"TOKREC\x00\x01"
 HEADER = "<8sII"
 MASK_DELTA = 0xA282EAD8
 #: Distinct segments kept in a worker's cache, per generation.
-CACHE = 350_000
+CACHE = 500_000
 #: Bytes of payloads a read batch holds; bytes of texts encoded at a time.
 READ_BYTES, CHUNK = 8 << 20, 8 << 20
 

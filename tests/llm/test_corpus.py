@@ -585,4 +585,16 @@ def test_pipeline(spark, tmp_path):
     want = {i for i, (_, c) in zip([i for i, _ in rows if i % 5], near([t for i, t in rows if i % 5], 5, 80), strict=True) if [i for i, _ in rows if i % 5][c] == i}
     assert {r["doc_id"] for r in kept.collect()} == want
     out = pipeline.run(spark, str(tmp_path)).collect()
+    sizes = {r["doc_id"]: len((r["text"] or "").encode()) for r in docs.collect()}
+    assert all(r["ends"][-1] == sizes[r["doc_id"]] for r in out)
+    # without rows, and with columns that stages use names of
+    (tmp_path / "none").mkdir()
+    docs.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int").limit(0).write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    more = docs.withColumns({c: F.lit("x") for c in ("n_tokens", "epochs", "cut", "kept", "selected", "ids", "component_id", "text_key", "key", "gumbel_key")})
+    for name, stage in pipeline.STAGES[:3]:
+        kept = stage(spark, more, str(tmp_path))
+        assert kept.columns == [c for c in more.columns if c not in ("selected", "gumbel_key", "n_tokens")] or set(kept.columns) == set(more.columns), name
+        assert 0 < kept.count() < more.count()
     assert out and {r["doc_id"] for r in out} <= want and all(r["n_tokens"] == len(r["ids"]) for r in out)
