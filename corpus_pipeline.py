@@ -3,7 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. The quality stage drops
 texts that importance resampling rejects; near-duplicate groups keep their smallest id (five-word shingles,
 similarity 0.8); the mixture takes prefixes of one seeded epoch of each source to target weights; the last
-stage gives token ids, with digests of the ids and of the decoded bytes.
+stage gives token ids with the bytes they end at, and digests of the ids and of the decoded bytes.
+
+Defined cases, of all stages: null and empty texts have no words, so the quality stage drops them; a null id is a
+document of its own that no other stands for; of repeated rows (equal id and text) one is left; rows that share an id
+but not a text are judged each by its own; equal keys at a cut go together; texts of any length are read whole; columns
+beyond those of documents are passed on up to the last stage, whatever their names; empty documents give no rows, and
+without labels the quality stage keeps all texts that have words.
 """
 
 from __future__ import annotations
