@@ -51,8 +51,8 @@ LEAST_PAGES, LEAST_SHARE = 3, 0.01
 ARTICLE_PAGES, COPY_SHARE = 10, 0.8
 #: Characters of pages for a bucket of keys, and bits that name buckets at most.
 BUCKET_CHARS, BUCKET_BITS = 1 << 20, 23
-#: Buckets that a task adds up, one after another.
-TOGETHER = 4
+#: Buckets that a task adds up, one after another; keys that a task holds before it deals them.
+TOGETHER, HELD = 8, 1_000_000
 #: Repeated runs that are broadcast; more are joined by a shuffle, dealt by so many salts.
 BROADCAST_RUNS, SALTS = 4_000_000, 16
 
@@ -518,10 +518,14 @@ def repeated_runs(rows: DataFrame, bits: int) -> DataFrame:
 
     def task(batches: Iterator) -> Iterator:
         for batch in batches:
-            ids, salts, htmls = batch["page_id"].to_pylist(), _uint64(batch["salt"]), batch["html"].to_pylist()
-            found = [group_keys(ids[at : at + PAGES], salts[at : at + PAGES], htmls[at : at + PAGES], bits) for at in range(0, len(ids), PAGES)]
-            if found:
-                yield from _dealt(*map(np.concatenate, zip(*found, strict=True)), bits).to_batches()
+            found, held = [], 0
+            for at in range(0, batch.num_rows, PAGES):
+                part = batch.slice(at, PAGES)
+                found.append(group_keys(part["page_id"].to_pylist(), _uint64(part["salt"]), part["html"].to_pylist(), bits))
+                held += len(found[-1][0])
+                if held >= HELD or at + PAGES >= batch.num_rows:
+                    yield from _dealt(*map(np.concatenate, zip(*found, strict=True)), bits).to_batches()
+                    found, held = [], 0
 
     def each(part) -> Iterator:
         import pyarrow as pa

@@ -28,6 +28,8 @@ from .common import forget, stored, text_of
 
 #: Hexadecimal digits by which a key range is divided: 256 ranges of a leaf a round; rows of one that are ordered.
 DIGITS, FEW = 2, 512
+#: Bands of ratios to a doubling, by which siblings are summed.
+BANDS = 64
 #: Leaves that are broadcast to the documents; more are joined by a shuffle.
 BROADCAST_LEAVES = 20_000
 
@@ -61,30 +63,42 @@ def weight(name: Column, weights: dict[str, float], other: float) -> Column:
     return out
 
 
-def filled(nodes: DataFrame, parent: list[str], name: str) -> DataFrame:
+def filled(nodes: DataFrame, parent: list[str]) -> DataFrame:
     """Add ``share``: of the parent's ``budget`` to each node with ``weight`` > 0 and supply ``cap``.
 
-    In ascending order of cap / weight, nodes are full as long as the level that the others would get is
-    above that ratio; the level at the first that isn't full holds for all after it.
+    In ascending order of cap / weight, nodes are full as long as the level that the others would get isn't
+    below that ratio; the level at the first that isn't full holds for all after it. Sums of nodes in bands of
+    ratios (``BANDS`` to a doubling) give the band of that node, and sums by ratio within it the level, so no task
+    holds all children of a node: a parent has a few thousand bands at most.
     """
-    order = W.partitionBy(*parent).orderBy("ratio", name)
     nodes = nodes.filter("weight > 0").withColumn("ratio", F.col("cap") / F.col("weight"))
-    before = F.coalesce(F.sum("cap").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
-    nodes = nodes.withColumn("level", (F.col("budget") - before) / rest)
-    first = F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", name, "level"))).over(W.partitionBy(*parent))
-    return nodes.withColumn("share", F.least(F.col("cap"), F.coalesce(F.col("weight") * first["level"], F.col("cap")))).drop("ratio", "level")
+    nodes = nodes.withColumn("band", F.when(F.col("ratio") > 0, F.floor(F.log2("ratio") * BANDS)).otherwise(F.lit(-(1 << 20))).cast("int"))
+
+    def sums(rows: DataFrame, key: str, *first) -> DataFrame:
+        """Of each ``key``: caps before it, weights from it on, and whether its last node isn't full."""
+        each = rows.groupBy(*parent, key).agg(F.sum("cap").alias("caps"), F.sum("weight").alias("weights"), F.max("ratio").alias("top"), F.max("budget").alias("budget"), *first)
+        order = W.partitionBy(*parent).orderBy(key)
+        upto, done = F.sum("caps").over(order), F.sum("weights").over(order)
+        before, rest = ("own_before", "own_rest") if first else ("before", "rest")
+        each = each.withColumn(before, upto - F.col("caps") + (F.col("before") if first else 0.0))
+        each = each.withColumn(rest, (F.col("rest") + F.col("weights") - done) if first else F.sum("weights").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
+        return each.filter(F.col(before) + F.col("caps") + F.col("top") * (F.col(rest) - F.col("weights")) > F.col("budget")).groupBy(*parent).agg(F.min(F.struct(key, before, rest, "budget")).alias("f"))
+
+    band = sums(nodes, "band").select(*parent, "f.band", "f.before", "f.rest")
+    own = nodes.join(band, [*parent, "band"])
+    level = sums(own, "ratio", F.max("before").alias("before"), F.max("rest").alias("rest")).select(*parent, ((F.col("f.budget") - F.col("f.own_before")) / F.col("f.own_rest")).alias("level"))
+    return nodes.join(level, parent, "left").withColumn("share", F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("level"), F.col("cap")))).drop("ratio", "band", "level")
 
 
 def quotas(leaves: DataFrame, share: float, max_epochs: int, domains: dict, languages: dict, other: float) -> DataFrame:
     """``leaves`` (domain, language, leaf_source, tokens) with ``quota``, in tokens."""
-    cap = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast("double"))
-    top = cap.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
-    top = top.withColumn("one", F.lit(1)).withColumn("budget", F.floor(F.sum("tokens").over(W.partitionBy("one")) * F.lit(share)).cast("double"))
-    top = filled(top.withColumn("weight", weight(F.col("domain"), domains, other)), ["one"], "domain").select("domain", F.col("share").alias("budget"))
+    cap = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast("double")).withColumn("one", F.lit(1))
+    whole = cap.groupBy("one").agg(F.floor(F.sum("tokens") * F.lit(share)).cast("double").alias("budget"))  # one row
+    top = cap.groupBy("domain", "one").agg(F.sum("cap").alias("cap")).join(F.broadcast(whole), "one")
+    top = filled(top.withColumn("weight", weight(F.col("domain"), domains, other)), ["one"]).select("domain", F.col("share").alias("budget"))
     middle = cap.groupBy("domain", "language").agg(F.sum("cap").alias("cap")).join(top, "domain")
-    middle = filled(middle.withColumn("weight", weight(F.col("language"), languages, other)), ["domain"], "language").select("domain", "language", F.col("share").alias("budget"))
-    low = filled(cap.join(middle, ["domain", "language"]).withColumn("weight", F.lit(1.0)), ["domain", "language"], "leaf_source")
+    middle = filled(middle.withColumn("weight", weight(F.col("language"), languages, other)), ["domain"]).select("domain", "language", F.col("share").alias("budget"))
+    low = filled(cap.join(middle, ["domain", "language"]).withColumn("weight", F.lit(1.0)), ["domain", "language"])
     return low.select(*LEAF, "tokens", F.floor(F.col("share") + 1e-6).cast("long").alias("quota"))
 
 
@@ -122,14 +136,14 @@ def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, see
     lang, source = F.coalesce(F.col("lang"), F.lit("")), F.coalesce(F.col("source"), F.lit(""))
     named = {"domain": F.coalesce(domain if domain is not None else domain_of(source), F.lit("")), "language": lang, "leaf_source": source}
     rows = stored(docs.select(*[c.alias(n) for n, c in named.items()], F.col("doc_id").cast("long").alias("doc_id"), words(text_of()).alias("n_tokens")), "token-counts")
-    leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
+    leaves = stored(rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     plan = quotas(leaves, share, max_epochs, domains, languages, other).filter("quota > 0")
     plan = stored(plan.select(*LEAF, F.expr("quota div tokens").alias("epochs"), (F.col("quota") % F.col("tokens")).alias("rest")), "quotas")
     small = plan.count() <= BROADCAST_LEAVES
     near = F.broadcast if small else (lambda df: df)
     ends = prefix_ends(rows, plan, near, seed)
     plan2 = stored(plan.join(ends, [*LEAF], "left").select(*LEAF, F.col("epochs").alias(OWN[0]), F.col("cut").alias(OWN[1])), "cuts")
-    forget(rows, plan)
+    forget(rows, leaves, plan)
     out = docs.withColumns(named).join(near(plan2), [*LEAF])
     more = F.coalesce(key(F.col(OWN[0]) + 1, F.col("doc_id"), seed) <= F.col(OWN[1]), F.lit(False))
     out = out.withColumn("copies", (F.col(OWN[0]) + more.cast("long")).cast("long")).filter("copies > 0").drop(*OWN)

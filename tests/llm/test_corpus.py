@@ -156,6 +156,32 @@ def test_budgets_go_to_siblings_first(spark):
     assert got == {"a": 10, "c": 190, "d": 200}  # then to the other language
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_levels_equal_water_filling_by_hand(spark, seed):
+    """Hundreds of siblings with equal, zero and very unequal supplies, under parents of any budget."""
+    rng = random.Random(seed)
+    rows = []
+    for p in "abcdef":
+        n = rng.choice((1, 3, 200))
+        caps = [float(rng.choice((0, 1, 7, 100, 100, rng.randrange(1, 10**9)))) for _ in range(n)]
+        budget = rng.choice((0.0, 1.0, sum(caps) / 3, sum(caps), sum(caps) * 2))
+        rows += [(p, f"{p}{k}", c, rng.choice((0.0, 0.1, 0.25, 1.0)), budget) for k, c in enumerate(caps)]
+    got = {r["name"]: r["share"] for r in mixing.filled(spark.createDataFrame(rows, "parent string, name string, cap double, weight double, budget double"), ["parent"]).collect()}
+    assert set(got) == {r[1] for r in rows if r[3] > 0}
+    for p in "abcdef":
+        own = [r for r in rows if r[0] == p and r[3] > 0]
+        left, open_ = (own[0][4] if own else 0.0), list(own)
+        while open_:  # give all a part; whoever is full leaves
+            level = left / sum(r[3] for r in open_)
+            full = [r for r in open_ if r[2] <= r[3] * level]
+            if not full:
+                break
+            left -= sum(r[2] for r in full)
+            open_ = [r for r in open_ if r not in full]
+        for r in own:
+            assert got[r[1]] == pytest.approx(r[3] * level if r in open_ else r[2], rel=1e-9, abs=1e-6)
+
+
 def test_word_counts(spark):
     texts = ["", " ", "a", " a  b\n\nc\t", "a\u000bb\fc\rd", "é 中 x"]
     got = spark.createDataFrame([*enumerate(texts)], "i int, t string").orderBy("i").select(mixing.words(F.col("t"))).collect()
