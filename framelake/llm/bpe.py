@@ -201,6 +201,7 @@ class Encoding:
         self.bytes_of: list[bytes] = [b""] * top
         for b, i in self.ranks.items():
             self.bytes_of[i] = b
+        self.sizes = np.array([len(b) for b in self.bytes_of], np.int64)
         self.text_of = [str(i) for i in range(top)]
         self.size = size
         self.now: dict[str, tuple[int, ...]] = {}
@@ -321,7 +322,7 @@ def encode(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str =
 
 
 def _with_ends(enc: Encoding, text: str, ids: list[int]):
-    return ids, np.cumsum([len(enc.bytes_of[i]) for i in ids], dtype=np.int64).tolist()
+    return ids, np.cumsum(enc.sizes[ids]) if ids else []
 
 
 def decode(tokens: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -20,6 +20,8 @@ extra columns are returned as they are, but ones named like the columns added he
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -92,13 +94,15 @@ def filled(nodes: DataFrame, parent: list[str]) -> DataFrame:
 
 def quotas(leaves: DataFrame, share: float, max_epochs: int, domains: dict, languages: dict, other: float) -> DataFrame:
     """``leaves`` (domain, language, leaf_source, tokens) with ``quota``, in tokens."""
-    cap = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast("double")).withColumn("one", F.lit(1))
-    whole = cap.groupBy("one").agg(F.floor(F.sum("tokens") * F.lit(share)).cast("double").alias("budget"))  # one row
-    top = cap.groupBy("domain", "one").agg(F.sum("cap").alias("cap")).join(F.broadcast(whole), "one")
-    top = filled(top.withColumn("weight", weight(F.col("domain"), domains, other)), ["one"]).select("domain", F.col("share").alias("budget"))
+    cap = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast("double"))
+    whole = float(math.floor((leaves.agg(F.sum("tokens")).first()[0] or 0) * share))
+    top = cap.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumns({"one": F.lit(1), "budget": F.lit(whole), "weight": weight(F.col("domain"), domains, other)})
+    # Each level is written, so that plans don't grow with the levels above.
+    top = stored(filled(stored(top, "domains"), ["one"]).select("domain", F.col("share").alias("budget")), "domain-budgets")
     middle = cap.groupBy("domain", "language").agg(F.sum("cap").alias("cap")).join(top, "domain")
-    middle = filled(middle.withColumn("weight", weight(F.col("language"), languages, other)), ["domain"]).select("domain", "language", F.col("share").alias("budget"))
-    low = filled(cap.join(middle, ["domain", "language"]).withColumn("weight", F.lit(1.0)), ["domain", "language"])
+    middle = filled(middle.withColumn("weight", weight(F.col("language"), languages, other)), ["domain"])
+    middle = stored(middle.select("domain", "language", F.col("share").alias("budget")), "language-budgets")
+    low = filled(stored(cap.join(middle, ["domain", "language"]).withColumn("weight", F.lit(1.0)), "sources"), ["domain", "language"])
     return low.select(*LEAF, "tokens", F.floor(F.col("share") + 1e-6).cast("long").alias("quota"))
 
 
@@ -137,7 +141,9 @@ def mix(docs: DataFrame, share: float = SHARE, max_epochs: int = MAX_EPOCHS, see
     named = {"domain": F.coalesce(domain if domain is not None else domain_of(source), F.lit("")), "language": lang, "leaf_source": source}
     rows = stored(docs.select(*[c.alias(n) for n, c in named.items()], F.col("doc_id").cast("long").alias("doc_id"), words(text_of()).alias("n_tokens")), "token-counts")
     leaves = stored(rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens")), "leaves")
-    plan = quotas(leaves, share, max_epochs, domains, languages, other).filter("quota > 0")
+    # A table of so few leaves needs no shuffles.
+    own = leaves.coalesce(1) if leaves.count() <= BROADCAST_LEAVES else leaves
+    plan = quotas(own, share, max_epochs, domains, languages, other).filter("quota > 0")
     plan = stored(plan.select(*LEAF, F.expr("quota div tokens").alias("epochs"), (F.col("quota") % F.col("tokens")).alias("rest")), "quotas")
     small = plan.count() <= BROADCAST_LEAVES
     near = F.broadcast if small else (lambda df: df)
