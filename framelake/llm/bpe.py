@@ -41,7 +41,7 @@ SYMBOLS = ("letter", "number", "other", "space", "white", "short", "long", "last
 STATES = ("none", "letter", "number", "other", "white", "space", "two", "one")
 #: Characters put through the scan at a time.
 SCAN_CHARS = 1 << 20
-CACHE = 300_000
+CACHE = 100_000
 
 
 def _step(state: str, symbol: str) -> tuple[str, bool]:
@@ -353,12 +353,12 @@ def round_trip(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: st
 
 
 def _tokens(enc: Encoding, text: str, ids: list[int]):
-    return *_with_ends(enc, text, ids), *_digest(enc, text, ids)
+    return ids, np.cumsum(enc.sizes[ids], dtype=np.int32) if ids else [], *_digest(enc, text, ids)
 
 
 def tokens(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``round_trip`` with the ids themselves and ``ends``, the byte of the text that each ends at."""
-    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     return _mapped(docs, ranks, id_col, text_col, fields, _tokens)
 
 

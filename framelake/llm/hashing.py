@@ -20,7 +20,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             steps[0] = 1
             both.append(np.cumprod(steps))
         have = both[0], both[1]
-        if n <= 1 << 21:
+        if n <= 1 << 20:
             _HELD[base] = have
     return have
 

@@ -43,6 +43,8 @@ REGISTERS, MANTISSA, ROWS, BANDS = 256, 10, 6, 42
 SIGMAS = 5.0
 #: Members of a key compared at a time: those outside the most frequent component, and all.
 BLOCK, PART = 1024, 2048
+#: Characters of texts read at a time, or a single text.
+TOGETHER = 1 << 18
 #: Columns that stand beside those of the documents for a while.
 OWN = ("_framelake_id", "_framelake_text")
 #: Ids that are broadcast to fetch their texts; more are joined by a shuffle.
@@ -52,7 +54,7 @@ BROADCAST_IDS = 500_000
 def shingles(texts: list[str], k: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``."""
     out = []
-    for a, b in chunks(texts, 1 << 20):
+    for a, b in chunks(texts, TOGETHER):
         held = [t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
         data = np.frombuffer(b"\n".join([*held, b""]), np.uint8)
         ends = np.cumsum([len(h) + 1 for h in held])

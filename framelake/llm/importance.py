@@ -40,6 +40,8 @@ from .hashing import BASES, mix, word_hashes
 BUCKETS, LABELLED, TEMPERATURE, SEED = 1 << 14, 20_000, 6.0, 23
 #: Added to each bucket's count, as a share of its model's mean.
 SMOOTHING = 0.01
+#: Characters of texts read at a time, or a single text.
+TOGETHER = 1 << 18
 #: Bins of a round, and keys that are few enough to be ordered.
 BINS, FEW = 4096, 4096
 
@@ -54,7 +56,7 @@ def _classes() -> np.ndarray:
 def ngrams(texts: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For a few texts at a time: number of the first, text of each n-gram from there, and its bucket."""
     classes, odd, shift = _classes(), np.uint64(BASES[1]), np.uint64(64 - (BUCKETS.bit_length() - 1))
-    for a, b in chunks(texts, 1 << 20):
+    for a, b in chunks(texts, TOGETHER):
         held = [t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
         data = np.frombuffer(b"\n".join([*held, b""]), np.uint8)
         begin, words = word_hashes(data)
