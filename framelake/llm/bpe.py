@@ -41,7 +41,7 @@ SYMBOLS = ("letter", "number", "other", "space", "white", "short", "long", "last
 STATES = ("none", "letter", "number", "other", "white", "space", "two", "one")
 #: Characters put through the scan at a time.
 SCAN_CHARS = 1 << 20
-CACHE = 100_000
+CACHE = 200_000
 
 
 def _step(state: str, symbol: str) -> tuple[str, bool]:

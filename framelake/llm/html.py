@@ -52,7 +52,7 @@ ARTICLE_PAGES, COPY_SHARE = 10, 0.8
 #: Characters of pages for a bucket of keys, and bits that name buckets at most.
 BUCKET_CHARS, BUCKET_BITS = 1 << 20, 23
 #: Buckets that a task adds up, one after another; keys that a task holds before it deals them.
-TOGETHER, HELD = 8, 1_000_000
+TOGETHER, HELD = 8, 400_000
 #: Repeated runs that are broadcast; more are joined by a shuffle, dealt by so many salts.
 BROADCAST_RUNS, SALTS = 4_000_000, 16
 
@@ -480,11 +480,12 @@ def _uint64(column) -> np.ndarray:
 
 
 def _dealt(keys: np.ndarray, counts: np.ndarray, bits: int):
-    """A row for each bucket: sorted low bytes of its keys, as planes (which compress), and counts."""
+    """A row for each bucket: sorted low bytes of its keys, as planes (which compress), and counts, of one byte each
+    where all fit."""
     import pyarrow as pa
 
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order].astype(np.uint32)
+    keys, counts = keys[order], counts[order].astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32)
     bucket = (keys >> np.uint64(low_bits(bits))).astype(np.int32)
     edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
     low = keys.view(np.uint8).reshape(-1, 8)[:, : low_bits(bits) // 8]
@@ -544,7 +545,8 @@ def repeated_runs(rows: DataFrame, bits: int) -> DataFrame:
         wide = np.zeros((sum(map(len, keys)), 8), np.uint8)
         wide[:, :size] = np.concatenate(keys)
         low = wide.view(np.uint64)[:, 0]
-        counts = np.frombuffer(b"".join(table["counts"].to_pylist()), np.uint32).astype(np.int64)
+        widths = [np.uint8 if len(c) * size == len(k) else np.uint32 for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True)]
+        counts = np.concatenate([np.frombuffer(c, w).astype(np.int64) for c, w in zip(table["counts"].to_pylist(), widths, strict=True)])
         order = np.argsort(low)
         low, counts = low[order], counts[order]
         at = np.concatenate([[0], np.flatnonzero(np.diff(low)) + 1])
