@@ -286,24 +286,24 @@ class Encoding:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_ENCODINGS: dict[str, Encoding] = {}
+_ENCODINGS: dict[tuple[str, int], Encoding] = {}
 
 
-def encoding(path: str) -> Encoding:
-    """One encoding for each worker and file."""
-    if path not in _ENCODINGS:
-        _ENCODINGS[path] = Encoding(path)
-    return _ENCODINGS[path]
+def encoding(path: str, size: int = CACHE) -> Encoding:
+    """One encoding for each worker, file and size of its cache."""
+    if (path, size) not in _ENCODINGS:
+        _ENCODINGS[path, size] = Encoding(path, size)
+    return _ENCODINGS[path, size]
 
 
-def _mapped(docs: DataFrame, ranks: str, id_col: str, text_col: str, fields: list[T.StructField], row) -> DataFrame:
+def _mapped(docs: DataFrame, ranks: str, id_col: str, text_col: str, fields: list[T.StructField], row, size: int = CACHE) -> DataFrame:
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields])
 
     def task(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        target, enc = to_arrow_schema(schema), encoding(ranks)
+        target, enc = to_arrow_schema(schema), encoding(ranks, size)
         for batch in batches:
             for at in range(0, max(1, batch.num_rows), 512):
                 part = batch.slice(at, 512)
@@ -356,10 +356,11 @@ def _tokens(enc: Encoding, text: str, ids: list[int]):
     return ids, np.cumsum(enc.sizes[ids], dtype=np.int32) if ids else [], *_digest(enc, text, ids)
 
 
-def tokens(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``round_trip`` with the ids themselves and ``ends``, the byte of the text that each ends at."""
+def tokens(docs: DataFrame, ranks: str, id_col: str = "doc_id", text_col: str = "text", size: int = CACHE // 2) -> DataFrame:
+    """``round_trip`` with the ids themselves and ``ends``, the byte of the text that each ends at. Workers keep
+    ``size`` pieces, fewer than else, as rows are larger."""
     fields = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    return _mapped(docs, ranks, id_col, text_col, fields, _tokens)
+    return _mapped(docs, ranks, id_col, text_col, fields, _tokens, size)
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
