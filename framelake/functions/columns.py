@@ -29,6 +29,18 @@ def hamming(a: Column, b: Column) -> Column:
     return F.when(~valid, F.lit(UNCOMPARABLE)).when(words <= 1, bits(1)).when(words <= 4, bits(4)).otherwise(walked).cast("int")
 
 
+def words64(h: Column, n: int) -> Column:
+    """The ``n`` 64-bit words of a hexadecimal string, as an array; null if it is none. Computed once a row, they make
+    ``bits_apart`` of many pairs cheap."""
+    padded = F.lpad(h, 16 * n, "0")
+    return F.when(h.rlike("^[0-9a-fA-F]+$"), F.array(*[word64(padded, i) for i in range(n)]))
+
+
+def bits_apart(x: Column, y: Column, n: int) -> Column:
+    """Differing bits of two hashes given as ``n`` words."""
+    return sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(n)), F.lit(0)).cast("int")
+
+
 def extension(filename: Column) -> Column:
     """Lower-case text after the last dot; null without a dot or after a trailing one."""
     ext = F.lower(F.substring_index(filename, ".", -1))

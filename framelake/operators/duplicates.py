@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import hamming
-from .graph import components
+from ..functions.columns import bits_apart, hamming, words64
+from .graph import components, cut
 
 BUCKET_CAP, THRESHOLD, BANDS = 500, 8, 4
 
@@ -35,34 +35,56 @@ def near_pairs(manifest: DataFrame, threshold: int = THRESHOLD, cap: int | None
     """a, b (row_idx, a < b), path_a, path_b and distance of rows that share a band and lie near.
 
     By default a hash is cut into four equal bands, as digits; buckets of more than ``cap`` rows are skipped,
-    which is part of the rule. With ``exact_recall`` equal hashes are first put together as one node (rows of
-    a node hang on its first), the bits (of the longest hash, zeros before others) are cut into threshold + 1
-    bands and no bucket is skipped: then no pair of nodes within the threshold can be missed, and ``a`` and ``b``
-    are the first rows of nodes.
+    which is part of the rule. ``exact_recall`` skips nothing (``exact_near_pairs``).
     """
-    rows = hashable(manifest).select("row_idx", "path", "phash")
     if exact_recall:
-        nodes = rows.groupBy("phash").agg(F.min(F.struct("row_idx", "path")).alias("r")).select("r.*", "phash")
-        words = -(-(nodes.agg(F.max(F.length("phash"))).first()[0] or 16) // 16)
-        bits = F.concat(*[F.lpad(F.conv(F.substring(F.lpad("phash", 16 * words, "0"), 16 * i + 1, 16), 16, 2), 64, "0") for i in range(words)])
-        n, cuts = 64 * words, threshold + 1
-        bands = [F.substring(bits, 1 + i * n // cuts, (i + 1) * n // cuts - i * n // cuts) for i in range(cuts)]
-    else:
-        nodes = rows
-        q = F.floor(F.length("phash") / BANDS).cast("int")
-        bands = [F.substring("phash", F.lit(1) + q * i, q) for i in range(BANDS)]
-    banded = nodes.select("*", F.posexplode(F.array(*bands)).alias("band", "part"))
-    if cap is not None and not exact_recall:
+        return exact_near_pairs(manifest, threshold)
+    rows = hashable(manifest).select("row_idx", "path", "phash")
+    q = F.floor(F.length("phash") / BANDS).cast("int")
+    banded = rows.select("*", F.posexplode(F.array(*[F.substring("phash", F.lit(1) + q * i, q) for i in range(BANDS)])).alias("band", "part"))
+    if cap is not None:
         # Counted apart, with partial sums, so a hot bucket is never gathered just to be skipped.
         sizes = banded.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= 2) & (F.col("n") <= cap))
         banded = banded.join(sizes.drop("n"), ["band", "part"], "left_semi")
     a, b = (banded.select("band", "part", F.col("row_idx").alias(s), F.col("path").alias(f"path_{s}"), F.col("phash").alias(f"h{s}")) for s in "ab")
     pairs = a.join(b, ["band", "part"]).filter("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).filter(F.col("distance") <= threshold)
-    near = pairs.select("a", "b", "path_a", "path_b", "distance").distinct()
-    if exact_recall:
-        own = rows.join(nodes.select("phash", F.col("row_idx").alias("a"), F.col("path").alias("path_a")), "phash").filter("row_idx <> a")
-        near = near.unionByName(own.select("a", F.col("row_idx").alias("b"), "path_a", F.col("path").alias("path_b"), F.lit(0).alias("distance")))
-    return near
+    return pairs.select("a", "b", "path_a", "path_b", "distance").distinct()
+
+
+def spread_masks(words: int, bands: int) -> list[list[int]]:
+    """For each band its bits in each word, as signed 64-bit masks: bit number i is in band i modulo ``bands``.
+
+    Neighbouring bits go to different bands, so bits that hardly vary (of rare digits, of an image's plain corner) don't
+    meet in one band, whose buckets would hold nearly all rows.
+    """
+    masks = [[sum(1 << (63 - k) for k in range(64) if (64 * w + k) % bands == b) for w in range(words)] for b in range(bands)]
+    return [[m - (1 << 64) if m >> 63 else m for m in band] for band in masks]
+
+
+def with_keys(bits: DataFrame, words: int, bands: int) -> DataFrame:
+    """Rows with a hash of ``words`` words in ``w``, once for each band, with a ``key`` of the band and its bits."""
+    keys = [F.xxhash64(F.lit(b), *[F.col("w")[i].bitwiseAND(F.lit(m)) for i, m in enumerate(masks)]) for b, masks in enumerate(spread_masks(words, bands))]
+    return bits.select("*", F.explode(F.array(*keys)).alias("key"))
+
+
+def exact_near_pairs(manifest: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The columns of ``near_pairs`` without a miss: equal hashes are put together as one node (rows of a node hang on its
+    first), and ``a`` and ``b`` are the first rows of nodes.
+
+    The bits (of the longest hash, zeros before others) are dealt to threshold + 1 bands and no bucket is skipped, so no
+    pair of nodes within the threshold can be missed. The hashes are read once and written to the shared folder.
+    """
+    rows = hashable(cut(manifest.select("row_idx", "path", "phash", "is_corrupt")))
+    nodes = cut(rows.groupBy("phash").agg(F.min(F.struct("row_idx", "path")).alias("r")).select("r.*", "phash"))
+    n = -(-(nodes.agg(F.max(F.length("phash"))).first()[0] or 16) // 16)
+    bits = nodes.select("row_idx", "path", words64(F.col("phash"), n).alias("w")).filter("w is not null")
+    banded = with_keys(bits, n, threshold + 1)
+    a, b = (banded.select("key", F.col("row_idx").alias(s), F.col("path").alias(f"path_{s}"), F.col("w").alias(f"w{s}")) for s in "ab")
+    distance = bits_apart(F.col("wa"), F.col("wb"), n)
+    pairs = a.join(b, "key").filter("a < b").filter(distance <= threshold).withColumn("distance", distance)
+    near = pairs.groupBy("a", "b").agg(*[F.min(c).alias(c) for c in ("path_a", "path_b", "distance")])
+    own = rows.join(nodes.select("phash", F.col("row_idx").alias("a"), F.col("path").alias("path_a")), "phash").filter("row_idx <> a")
+    return near.unionByName(own.select("a", F.col("row_idx").alias("b"), "path_a", F.col("path").alias("path_b"), F.lit(0).alias("distance")))
 
 
 def near_clusters(manifest: DataFrame, threshold: int = THRESHOLD, **how) -> DataFrame:

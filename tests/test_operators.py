@@ -1,3 +1,6 @@
+import itertools
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -298,3 +301,20 @@ def test_fixed_places_as_printed(spark):
     xs = [1.005, 1.015, 2.675, 0.125, 0.375, 1.225, 123456.785, 0.0]
     got = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(fn.fixed2(F.col("x"))).collect()
     assert [r[0] for r in got] == [f"{x:.2f}" for x in xs]
+
+
+def test_bands_with_constant_digits(spark):
+    """Digits that never vary don't fill a bucket with all rows; each bit is in one band."""
+    for words, bands in ((1, 4), (1, 9), (4, 9), (3, 7)):
+        masks = duplicates.spread_masks(words, bands)
+        assert all(sum(m[w] & (1 << 64) - 1 for m in masks) == (1 << 64) - 1 for w in range(words))
+        assert all(a[w] & b[w] == 0 for w in range(words) for a, b in itertools.combinations(masks, 2))
+    # digits 6 to 15 are the same in all: the old bands 1 and 2 (bits 28 to 84) were nearly constant
+    draw = random.Random(5)
+    hashes = ["".join("0" if 6 <= k < 24 else draw.choice("0123456789abcdef") for k in range(64)) for _ in range(400)]
+    hashes += [hashes[0][:-2] + "%02x" % (int(hashes[0][-2:], 16) ^ 255)]
+    nodes = spark.createDataFrame([(i, h) for i, h in enumerate(hashes)], "row_idx long, phash string").select("row_idx", fn.words64(F.col("phash"), 4).alias("w"))
+    keyed = duplicates.with_keys(nodes, 4, 9)
+    assert keyed.groupBy("key").count().agg(F.max("count")).first()[0] <= 10
+    m = manifest(spark, [{"phash": h} for h in hashes])
+    assert values(duplicates.near_pairs(m, exact_recall=True), "a", "b", "distance") == [(0, 400, 8)]
