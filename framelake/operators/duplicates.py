@@ -89,7 +89,7 @@ def exact_near_pairs(manifest: DataFrame, threshold: int = THRESHOLD) -> DataFra
 
 def near_clusters(manifest: DataFrame, threshold: int = THRESHOLD, **how) -> DataFrame:
     """row_idx and cluster (the smallest row_idx reachable) of rows with a near pair."""
-    return components(near_pairs(manifest, threshold, **how).select("a", "b")).select(F.col("node").alias("row_idx"), F.col("label").alias("cluster"))
+    return components(cut(near_pairs(manifest, threshold, **how).select("a", "b"))).select(F.col("node").alias("row_idx"), F.col("label").alias("cluster"))
 
 
 def group_sizes(manifest: DataFrame) -> DataFrame:

@@ -318,3 +318,13 @@ def test_bands_with_constant_digits(spark):
     assert keyed.groupBy("key").count().agg(F.max("count")).first()[0] <= 10
     m = manifest(spark, [{"phash": h} for h in hashes])
     assert values(duplicates.near_pairs(m, exact_recall=True), "a", "b", "distance") == [(0, 400, 8)]
+
+
+def test_clusters_find_links_once(spark, monkeypatch):
+    """The links are written before they are turned around, so the join isn't run for each direction."""
+    written = []
+    monkeypatch.setattr(duplicates, "cut", lambda df: written.append(df.columns) or graph.cut(df))
+    m = manifest(spark, [{"phash": f"{h:064x}"} for h in (0, 1, 3, 3, 3 << 200)])
+    found = duplicates.near_clusters(m, threshold=1, exact_recall=True)
+    assert values(found, "row_idx", "cluster") == [(0, 0), (1, 0), (2, 0), (3, 0)]
+    assert ["a", "b"] in written
