@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 
@@ -328,3 +329,17 @@ def test_clusters_find_links_once(spark, monkeypatch):
     found = duplicates.near_clusters(m, threshold=1, exact_recall=True)
     assert values(found, "row_idx", "cluster") == [(0, 0), (1, 0), (2, 0), (3, 0)]
     assert ["a", "b"] in written
+
+
+def test_leakage_rounds(spark, monkeypatch):
+    """Sixty rows want thirty partners: a row doesn't ask, one a round, for each partner that an earlier row holds."""
+    written = []
+    monkeypatch.setattr(leakage, "cut", lambda df: written.append(df.columns) or graph.cut(df))
+    a, b = [f"a{i:02}" for i in range(60)], [f"b{i:02}" for i in range(30)]
+    found = leaks(spark, {"a": [{"path": p, "phash": "aaaa0000"} for p in a], "b": [{"path": p, "phash": "aaaa0001"} for p in b]})
+    left, want = set(b), {}
+    for p in a[:30]:
+        want[p] = min(left, key=lambda q: hashlib.md5(f"{p}|{q}".encode()).hexdigest())
+        left.remove(want[p])
+    assert {r["path"]: r["matched_path"] for r in found.collect()} == want
+    assert len(written) <= 24
